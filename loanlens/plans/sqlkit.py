@@ -92,6 +92,7 @@ def over_loans(body: str) -> str:
 
 BAD = "loan_status IN ('Defaulted','Chargedoff')"
 CURRENT = "loan_status = 'Current'"
+NOT_CURRENT = "loan_status <> 'Current'"
 COMPLETED = "loan_status = 'Completed'"
 PAST_DUE = "loan_status LIKE 'Past Due%'"
 MIDPOINT = "((credit_score_range_lower + credit_score_range_upper) / 2.0)"
