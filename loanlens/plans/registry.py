@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.plans import tier1, tier2, tier3
+from loanlens.plans import tier1, tier2, tier3, tier4
 from loanlens.sources.loans import loans
 
-_TIERS = [tier1, tier2, tier3]
+_TIERS = [tier1, tier2, tier3, tier4]
 
 
 def loan_functions() -> dict[str, Callable[[DataFrame], DataFrame]]:
