@@ -39,7 +39,10 @@ LOAN_COLUMNS: list[tuple[str, T.DataType]] = [
 
 LOAN_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in LOAN_COLUMNS])
 
-CSV_OPTIONS = {"header": "true", "dateFormat": "yyyy-MM-dd", "mode": "FAILFAST"}
+# a blank field is NULL; a quoted empty field ("") is the empty string: the
+# reader maps blanks to a sentinel that then reads as NULL
+CSV_OPTIONS = {"header": "true", "dateFormat": "yyyy-MM-dd", "mode": "FAILFAST",
+               "nullValue": "\\N", "emptyValue": ""}
 
 
 def read_loans_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -19,3 +19,12 @@ def _coerce(v, t):
 def make_loans(spark, rows):
     data = [tuple(_coerce(r.get(n), t) for n, t in LOAN_COLUMNS) for r in rows]
     return spark.createDataFrame(data, LOAN_SCHEMA)
+
+
+def digest(df):
+    """Order-insensitive exact multiset of rows (columns sorted by name)."""
+    from collections import Counter
+
+    from loanlens.plans.verify import _norm
+    cols = sorted(df.columns)
+    return Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())

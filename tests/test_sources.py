@@ -3,17 +3,14 @@ import tempfile
 
 from loanlens.plans import registry
 from loanlens.plans.sqlkit import LOAN_CTE
-from loanlens.plans.verify import _norm
 from loanlens.sources.loans import LOANS_PATH_CONF, derive_loans, loans, write_loans
 from loanlens.sources.schema import LOAN_SCHEMA, read_loans_csv, write_loans_csv
 from loanlens.sources.tables import read_table
 
+from helpers import digest
 from conftest import SF_SMALL
 
 
-def _digest(df):
-    cols = sorted(df.columns)
-    return sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
 
 
 def test_schema_is_the_derived_schema(spark):
@@ -28,7 +25,7 @@ def test_dataframe_view_equals_fixture_sql_in_spark(spark):
     for t in tables:
         text = text.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     sql_df = spark.sql(text + " SELECT * FROM loan", **tables)
-    assert _digest(sql_df) == _digest(derive_loans(spark, SF_SMALL))
+    assert digest(sql_df) == digest(derive_loans(spark, SF_SMALL))
 
 
 def test_csv_round_trip_keeps_nulls_and_empty_strings(spark):
@@ -36,10 +33,10 @@ def test_csv_round_trip_keeps_nulls_and_empty_strings(spark):
     d = tempfile.mkdtemp(prefix="loanlens-csv-")
     write_loans_csv(src, d + "/loans_csv")
     back = read_loans_csv(spark, d + "/loans_csv")
-    assert _digest(back) == _digest(src)
+    assert digest(back) == digest(src)
     fns = registry.loan_functions()
     for k in ("s01_post2009_snapshot", "s06_yearly_trend", "s19_vintage_quarter"):
-        assert _digest(fns[k](back)) == _digest(fns[k](src))
+        assert digest(fns[k](back)) == digest(fns[k](src))
 
 
 def test_stored_table_is_used_when_configured(spark):
