@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.plans import tier1, tier2, tier3, tier4
+from loanlens.plans import generic, tier1, tier2, tier3, tier4
 from loanlens.sources.loans import loans
 
 _TIERS = [tier1, tier2, tier3, tier4]
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {}
     for name, fn in loan_functions().items():
         out[name] = (lambda f: lambda spark, sf_dir: f(loans(spark, sf_dir)))(fn)
+    out.update(generic.FUNCS)
     return out
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for t in _TIERS:
         out.update(t.SQL)
+    out.update(generic.SQL)
     return out
