@@ -193,6 +193,27 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_loans(spark, sf_dir)
 
 
+def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """Derive the loan table once, store it, and point the session at it.
+
+    The store goes to the shared folder the cluster names in
+    ``spark.checkpoint.dir`` (never a machine-local folder): it cuts the
+    lineage of the three-way join and spares every later analysis the
+    line-item aggregation. A lost executor then costs a re-read of stored
+    files, not a recomputation of the join.
+    """
+    from loanlens.session import checkpoint_dir
+    import hashlib
+    import os
+
+    if path is None:
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+        path = os.path.join(checkpoint_dir(spark), "loan_table", tag)
+    write_loans(derive_loans(spark, sf_dir), path)
+    spark.conf.set(LOANS_PATH_CONF, path)
+    return path
+
+
 def write_loans(df: DataFrame, path: str, partition_by_year: bool = False) -> str:
     """Store the loan table as Parquet (optionally partitioned by origination year,
     so date filters prune whole directories)."""
