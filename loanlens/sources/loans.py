@@ -21,6 +21,7 @@ from loanlens.functions.canon import D, dec
 from loanlens.sources.tables import bounded_broadcast, read_table
 
 LOANS_PATH_CONF = "loanlens.loans.path"
+LOANS_SOURCE_CONF = "loanlens.loans.source"   # sf_dir the stored copy was built from
 
 STATUS_ORDER_PRIORITY = (
     # (o_orderstatus, o_orderpriority or None, loan_status) — fixture mapping
@@ -186,9 +187,14 @@ def derive_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan table for ``sf_dir``: a stored copy if configured, else derived."""
+    """The loan table for ``sf_dir``: a stored copy if configured, else derived.
+
+    A copy stored by ``materialize_loans`` is used only for the ``sf_dir`` it
+    was built from; a path set without a source applies to every call.
+    """
     path = spark.conf.get(LOANS_PATH_CONF, None)
-    if path:
+    source = spark.conf.get(LOANS_SOURCE_CONF, None)
+    if path and (not source or source == sf_dir):
         return spark.read.parquet(path)
     return derive_loans(spark, sf_dir)
 
@@ -211,6 +217,7 @@ def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None)
         path = os.path.join(checkpoint_dir(spark), "loan_table", tag)
     write_loans(derive_loans(spark, sf_dir), path)
     spark.conf.set(LOANS_PATH_CONF, path)
+    spark.conf.set(LOANS_SOURCE_CONF, sf_dir)
     return path
 
 

@@ -54,3 +54,17 @@ def test_unpartitioned_windows_sit_above_an_aggregate(spark, stored):
 def test_loan_view_joins_on_copartitioned_orders(spark):
     phys = derive_loans(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [o_orderkey" in phys
+
+
+@pytest.mark.parametrize("name", ["s16_repeat_borrower_basic", "s23_repeat_borrower_history",
+                                  "s36_borrower_progression", "s04_status_summary",
+                                  "s22_score_employment", "s34_occupation_risk"])
+def test_hot_keys_are_combined_map_side(spark, stored, name):
+    """A borrower (or status) holding a third of all rows must not reach one
+    reducer as raw rows: every shuffle is fed by a partial aggregate."""
+    phys = registry.loan_functions()[name](stored)._jdf.queryExecution().executedPlan().toString()
+    lines = phys.splitlines()
+    for i, ln in enumerate(lines):
+        if "Exchange hashpartitioning" in ln:
+            below = lines[i + 1].strip()
+            assert "HashAggregate" in below, (name, ln, below)

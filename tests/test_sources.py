@@ -3,7 +3,8 @@ import tempfile
 
 from loanlens.plans import registry
 from loanlens.plans.sqlkit import LOAN_CTE
-from loanlens.sources.loans import LOANS_PATH_CONF, derive_loans, loans, write_loans
+from loanlens.sources.loans import (LOANS_PATH_CONF, LOANS_SOURCE_CONF, derive_loans, loans,
+                                    materialize_loans, write_loans)
 from loanlens.sources.schema import LOAN_SCHEMA, read_loans_csv, write_loans_csv
 from loanlens.sources.tables import read_table
 
@@ -48,3 +49,16 @@ def test_stored_table_is_used_when_configured(spark):
         assert stored.count() == derive_loans(spark, SF_SMALL).count()
     finally:
         spark.conf.unset(LOANS_PATH_CONF)
+
+
+def test_materialized_copy_only_serves_its_own_scale(spark):
+    path = materialize_loans(spark, SF_SMALL)
+    try:
+        assert spark.conf.get(LOANS_PATH_CONF) == path
+        plan = loans(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
+        other = loans(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" in other
+    finally:
+        spark.conf.unset(LOANS_PATH_CONF)
+        spark.conf.unset(LOANS_SOURCE_CONF)
