@@ -8,13 +8,16 @@ both the Spark column (``bucketize``) and the oracle's CASE text
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loanlens.functions.canon import c
+
+def c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
 
 @dataclass(frozen=True)
@@ -76,9 +79,32 @@ def _d(v: str) -> Decimal:
     return Decimal(v)
 
 
-# === fixed values: labels and cut points of the reference's CASE ladders ====
-# (text copied as written: U+2013 EN DASH, U+2264 LESS-THAN OR EQUAL TO and
-#  doubled spaces are part of the labels)
+# === fixed values of the reference ==========================================
+# Statuses, thresholds, minimum group sizes, cut points and labels as the
+# reference states them (label text as written: U+2013 EN DASH, U+2264
+# LESS-THAN OR EQUAL TO and doubled spaces are part of the labels).
+
+BAD_STATUSES = ("Defaulted", "Chargedoff")
+CLOSED_STATUSES = ("Completed", "Chargedoff", "Defaulted")
+STATUS_CURRENT = "Current"
+STATUS_COMPLETED = "Completed"
+PAST_DUE_PREFIX = "Past Due"
+SNAPSHOT_SINCE = _dt.date(2009, 12, 31)
+OCCUPATION_MIN_LOANS = 100
+SCORE_EMPLOYMENT_MIN_LOANS = 50
+REPEAT_BORROWER_MAX_LOANS = 10
+DELINQ_MIN_LOANS = 5
+STATE_MIN_LOANS = 5
+SCORECARD_MIN_LOANS = 5
+TERM_COMPARED = (36, 60)
+MATRIX_TERM = 36
+UTILIZATION_RANGE = (0, 1)
+FULLY_FUNDED_MAX = Decimal("1.0")
+PAST_DUE_PAYMENT_FACTOR = Decimal("0.5")
+PROFILE_LOW_BAND = (Decimal("0.01"), Decimal("0.25"))
+PROFILE_MEDIUM_BAND = (Decimal("0.26"), Decimal("0.50"))
+SCORECARD_LOW_RULE = (720, Decimal("0.30"), 24)    # score midpoint >=, DTI <=, employment months >=
+SCORECARD_MEDIUM_RULE = (640, Decimal("0.50"))     # score midpoint >=, DTI <=
 
 DTI_SEGMENT = Ladder((
     ("<", _d("0.20"), "Low DTI  (< 20%)"),

@@ -29,10 +29,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values (must equal the reference) -------------------------------
-BAD_STATUSES = ("Defaulted", "Chargedoff")
-PAST_DUE_PREFIX = "Past Due"
-# ---------------------------------------------------------------------------
+from loanlens.functions.buckets import BAD_STATUSES, PAST_DUE_PREFIX
 
 PRE_ROUND = T.DecimalType(28, 6)
 

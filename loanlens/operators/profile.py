@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.functions.canon import avg_x, c, n_rows, pct
+from loanlens.functions.canon import c, n_rows, pct
 
 
 def segment_profile(df: DataFrame, keys: Sequence, measures: Mapping[str, Column],
@@ -69,4 +69,4 @@ def calibration(df: DataFrame, key: str, expected: Mapping[str, Column],
     return df.groupBy(key).agg(*[m.alias(k) for k, m in {**expected, **realized}.items()])
 
 
-__all__ = ["segment_profile", "profile_with_total", "share_of_groups", "calibration", "avg_x"]
+__all__ = ["segment_profile", "profile_with_total", "share_of_groups", "calibration"]

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.functions.buckets import Ladder, bucketize
+from loanlens.functions.buckets import bucketize
 
 
 def additive_score(df: DataFrame, factors: Mapping[str, tuple], score_col: str) -> DataFrame:
@@ -50,4 +50,4 @@ def scenario_grid(one_row: DataFrame, scenarios: Sequence[tuple[str, str | None]
             .drop("_sc"))
 
 
-__all__ = ["additive_score", "rule_label", "scenario_grid", "Ladder"]
+__all__ = ["additive_score", "rule_label", "scenario_grid"]

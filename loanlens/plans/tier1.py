@@ -11,13 +11,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanlens.functions import buckets as B
 from loanlens.functions import canon as K
 from loanlens.functions.canon import D
 from loanlens.operators.profile import segment_profile
 from loanlens.plans import sqlkit as S
 
-SNAPSHOT_SINCE = dt.date(2009, 12, 31)   # fixed value of the reference
-CLOSED_STATUSES = ("Completed", "Chargedoff", "Defaulted")
+SNAPSHOT_SINCE = B.SNAPSHOT_SINCE
 
 
 def s01_post2009_snapshot(loans: DataFrame, since: dt.date = SNAPSHOT_SINCE) -> DataFrame:
@@ -29,7 +29,7 @@ def s01_post2009_snapshot(loans: DataFrame, since: dt.date = SNAPSHOT_SINCE) ->
 
 def s02_net_return(loans: DataFrame) -> DataFrame:
     """Closed loans: payments minus gross principal loss (NULL if either is NULL)."""
-    return (loans.filter(F.col("loan_status").isin(*CLOSED_STATUSES))
+    return (loans.filter(F.col("loan_status").isin(*B.CLOSED_STATUSES))
             .select("loan_number", "loan_original_amount", "lender_yield", "lp_customer_payments",
                     "lp_gross_principal_loss",
                     (F.col("lp_customer_payments") - F.col("lp_gross_principal_loss"))
@@ -88,7 +88,7 @@ def s06_yearly_trend(loans: DataFrame) -> DataFrame:
         "default_rate_pct": K.bad_pct(),
         "avg_investors_per_loan": K.avg_x("investors"),
         "total_loan_volume": F.sum(amt).cast(D(38, 2)),
-        "current_loans_pct": K.pct(K.count_if(K.is_status("Current")), K.n_rows()),
+        "current_loans_pct": K.pct(K.count_if(K.is_status(B.STATUS_CURRENT)), K.n_rows()),
     }, count_name="loans_originated")
     return (g.select(F.col("origination_year").cast("int").alias("origination_year"),
                      "loans_originated", "avg_loan_amount", "avg_interest_rate",

@@ -12,7 +12,7 @@ from loanlens.functions.canon import D
 from loanlens.operators.profile import calibration, profile_with_total, segment_profile
 from loanlens.plans import sqlkit as S
 
-OCCUPATION_MIN_LOANS = 100   # fixed value of the reference (HAVING COUNT(*) >= 100)
+OCCUPATION_MIN_LOANS = B.OCCUPATION_MIN_LOANS
 
 
 def s07_rating_vs_default(loans: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def s11_term_optimization(loans: DataFrame) -> DataFrame:
         "avg_borrower_rate": K.avg_x(F.col("borrower_rate").cast(D(10, 4))),
         "avg_borrower_apr": K.avg_x(F.col("borrower_apr").cast(D(10, 4))),
         "default_rate_pct": K.bad_pct(),
-        "completion_rate_pct": K.pct(K.count_if(K.is_status("Completed")), K.n_rows()),
+        "completion_rate_pct": K.pct(K.count_if(K.is_status(B.STATUS_COMPLETED)), K.n_rows()),
         "avg_monthly_payment": K.avg_x(pay),
         "total_monthly_payments": F.sum(pay).cast(D(38, 2)),
         "avg_investors_per_loan": K.avg_x("investors"),

@@ -4,7 +4,6 @@ from decimal import Decimal
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens.functions import canon as K
