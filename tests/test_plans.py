@@ -68,3 +68,29 @@ def test_hot_keys_are_combined_map_side(spark, stored, name):
         if "Exchange hashpartitioning" in ln:
             below = lines[i + 1].strip()
             assert "HashAggregate" in below, (name, ln, below)
+
+
+def test_loan_build_plan_at_scale_shape(spark):
+    """With automatic broadcasts off (as for 100 TB inputs) the build shuffles
+    exactly: orders and line aggregate on the order key (co-partitioned, no
+    exchange between the aggregate and the join), then both sides of the
+    customer join on the customer key. Only the row-checked nation table is
+    broadcast."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        df = derive_loans(spark, SF_SMALL)
+        phys = df._jdf.queryExecution().executedPlan().toString()
+        ex = [ln.strip() for ln in phys.splitlines() if "Exchange hashpartitioning" in ln]
+        keys = sorted(ln.split("hashpartitioning(")[1].split("#")[0] for ln in ex)
+        assert keys == ["c_custkey", "l_orderkey", "o_custkey", "o_orderkey"], ex
+        assert phys.count("SortMergeJoin") == 2
+        assert phys.count("BroadcastExchange") == 1
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
