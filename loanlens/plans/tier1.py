@@ -15,6 +15,7 @@ from loanlens.functions import buckets as B
 from loanlens.functions import canon as K
 from loanlens.functions.canon import D
 from loanlens.operators.profile import segment_profile
+from loanlens.operators.output import sorted_by
 from loanlens.plans import sqlkit as S
 
 SNAPSHOT_SINCE = B.SNAPSHOT_SINCE
@@ -63,7 +64,7 @@ def s04_status_summary(loans: DataFrame) -> DataFrame:
     total = F.sum("total_loans").over(Window.partitionBy())
     return (g.withColumn("portfolio_share_pct",
                          K.pct(F.col("total_loans"), total, divide_first=True))
-            .orderBy(F.desc("total_loans")))
+            .transform(sorted_by(F.desc("total_loans"))))
 
 
 def s05_default_factors(loans: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def s06_yearly_trend(loans: DataFrame) -> DataFrame:
                      "loans_originated", "avg_loan_amount", "avg_interest_rate",
                      "default_rate_pct", "avg_investors_per_loan", "total_loan_volume",
                      "current_loans_pct")
-            .orderBy(F.desc("origination_year")))
+            .transform(sorted_by(F.desc("origination_year"))))
 
 
 # --- oracles ------------------------------------------------------------------

@@ -10,6 +10,7 @@ from loanlens.functions import canon as K
 from loanlens.functions.buckets import bucketize
 from loanlens.functions.canon import D
 from loanlens.operators.profile import calibration, profile_with_total, segment_profile
+from loanlens.operators.output import sorted_by
 from loanlens.plans import sqlkit as S
 
 OCCUPATION_MIN_LOANS = B.OCCUPATION_MIN_LOANS
@@ -22,7 +23,7 @@ def s07_rating_vs_default(loans: DataFrame) -> DataFrame:
         "default_rate": K.flag_rate(K.is_bad()),
         "avg_lender_yield": K.avg_x("lender_yield"),
     }, count_name="total_loans", where=F.col("risk_rating").isNotNull())
-        .orderBy("risk_rating"))
+        .transform(sorted_by("risk_rating")))
 
 
 def s08_expected_vs_realized_loss(loans: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def s08_expected_vs_realized_loss(loans: DataFrame) -> DataFrame:
     return (calibration(loans, "risk_rating",
                         {"avg_estimated_loss": K.avg_x("estimated_loss")},
                         {"avg_realized_loss_ratio": K.avg_x(realized)})
-            .orderBy("risk_rating"))
+            .transform(sorted_by("risk_rating")))
 
 
 def s09_friends_investment(loans: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def s09_friends_investment(loans: DataFrame) -> DataFrame:
     return (segment_profile(loans, ["investment_from_friends_count"], {
         "avg_borrower_apr": K.avg_x("borrower_apr"),
         "default_rate": K.flag_rate(K.is_bad()),
-    }, count_name="total_loans").orderBy("investment_from_friends_count"))
+    }, count_name="total_loans").transform(sorted_by("investment_from_friends_count")))
 
 
 def s10_dti_segment(loans: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def s11_term_optimization(loans: DataFrame) -> DataFrame:
         "avg_monthly_payment": K.avg_x(pay),
         "total_monthly_payments": F.sum(pay).cast(D(38, 2)),
         "avg_investors_per_loan": K.avg_x("investors"),
-    }, count_name="total_loans", where=F.col("term").isNotNull()).orderBy("term"))
+    }, count_name="total_loans", where=F.col("term").isNotNull()).transform(sorted_by("term")))
 
 
 def s12_homeowner_occupation(loans: DataFrame, min_loans: int = OCCUPATION_MIN_LOANS) -> DataFrame:
@@ -85,7 +86,7 @@ def s12_homeowner_occupation(loans: DataFrame, min_loans: int = OCCUPATION_MIN_L
         "avg_dti": K.avg_x(F.col("debt_to_income_ratio").cast(D(10, 2))),
     }, count_name="loan_count", min_count=min_loans,
         where=occ.isNotNull() & (occ != B.OCCUPATION_OTHER))
-        .orderBy(F.desc("default_rate_pct")))
+        .transform(sorted_by(F.desc("default_rate_pct"))))
 
 
 def s13_investor_concentration(loans: DataFrame) -> DataFrame:
@@ -112,7 +113,7 @@ def s13_investor_concentration(loans: DataFrame) -> DataFrame:
                      .alias("portfolio_share_pct"),
                      "avg_loan_amount", "avg_percent_funded", "default_rate_pct",
                      "avg_borrower_rate", "total_loan_volume")
-            .orderBy(F.desc("loan_count")))
+            .transform(sorted_by(F.desc("loan_count"))))
 
 
 def s14_loss_recovery(loans: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def s14_loss_recovery(loans: DataFrame) -> DataFrame:
         }, count_name="loan_count", where=F.col("lp_gross_principal_loss").isNotNull())
     recovery = K.guarded_div("avg_recoveries", "avg_gross_principal_loss") * F.lit(100.0)
     return (g.withColumn("recovery_rate_pct", K.rnd(recovery, 2, 5))
-            .orderBy(F.desc("loan_count")))
+            .transform(sorted_by(F.desc("loan_count"))))
 
 
 def s15_risk_return_rank(loans: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def s15_risk_return_rank(loans: DataFrame) -> DataFrame:
         "default_rate": K.flag_rate(K.is_bad()),
     }, count_name="total_loans")
     return (g.withColumn("risk_adjusted_return", F.col("avg_lender_yield") - F.col("default_rate"))
-            .orderBy(F.desc("risk_adjusted_return")))
+            .transform(sorted_by(F.desc("risk_adjusted_return"))))
 
 
 # --- oracles ------------------------------------------------------------------

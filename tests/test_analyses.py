@@ -154,3 +154,16 @@ def test_s30_stressed_at_least_baseline(spark, loans_mid):
 def test_s23_having_caps_loans(spark, loans_mid):
     rows = tier3.s23_repeat_borrower_history(loans_mid).collect()
     assert max(r["total_loans"] for r in rows) <= 10
+
+
+def test_results_come_back_in_the_reference_order(spark, loans_mid):
+    r = tier2.s11_term_optimization(loans_mid).collect()
+    assert [x["term"] for x in r] == sorted(x["term"] for x in r)
+    r = tier3.s24_monthly_seasonality(loans_mid).collect()
+    keys = [(x["origination_year"] or -1, x["origination_month"] or -1) for x in r]
+    assert keys == sorted(keys, reverse=True)
+    r = tier4.s27_credit_utilization(loans_mid).collect()
+    assert [x["utilization_bucket"] for x in r] == ["0–10%", "11–30%", "31–50%", "51–70%",
+                                                    "71–90%", "91–100%+"]
+    r = tier2.s13_investor_concentration(loans_mid).collect()
+    assert [x["loan_count"] for x in r] == sorted((x["loan_count"] for x in r), reverse=True)
