@@ -30,10 +30,7 @@ class Ladder:
 
 
 def _lit(v) -> Column:
-    if isinstance(v, str):
-        return F.lit(v)
-    if isinstance(v, Decimal):
-        return F.lit(v)
+    """Literal of a rule operand or label (Decimal operands stay exact decimals)."""
     return F.lit(v)
 
 
