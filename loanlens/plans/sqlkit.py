@@ -88,6 +88,16 @@ def over_loans(body: str) -> str:
     return LOAN_CTE + body
 
 
+def section_body(oracle: str) -> str:
+    """The analysis part of an oracle built by ``over_loans`` (expects a
+    relation named ``loan``), e.g. to run it over a stored loan table."""
+    assert oracle.startswith(LOAN_CTE.rstrip()), "not built by over_loans"
+    rest = oracle[len(LOAN_CTE.rstrip()):]
+    if rest.startswith(",\n"):
+        return "WITH " + rest[2:]
+    return rest.lstrip()
+
+
 # --- canonical forms ----------------------------------------------------------
 
 BAD = "loan_status IN ('Defaulted','Chargedoff')"
