@@ -8,8 +8,13 @@ from pyspark.sql import SparkSession
 
 # Settings the semantics depend on (UTC dates, ANSI arithmetic) plus the
 # runtime re-planning the plans assume at scale (AQE: partition coalescing,
-# skew-join splitting, broadcast demotion from runtime sizes).
+# skew-join splitting). Broadcasts never rest on planner estimates: the
+# static threshold is off, so a side is broadcast only when AQE has measured
+# it below 10 MB at runtime, or when ``bounded_broadcast`` has checked its
+# row count.
 BASE_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
