@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,3 +63,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="loanlens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               min_partitions: int = 8) -> dict:
+    """Scan and shuffle sizing for an input of ``input_bytes``.
+
+    Scan splits of ``target_partition_bytes``; enough shuffle partitions that
+    the largest shuffle (at most about the input volume) gives each reducer
+    one target-sized slice, so no task needs more than a few hundred MB of
+    memory (anything beyond spills). AQE then merges small partitions
+    towards half the target and splits skewed ones. For 100 TB this gives
+    409,600 initial shuffle partitions.
+
+    Pass the result as ``get_session(..., extra=scale_conf(n))``.
+    """
+    parts = max(min_partitions, math.ceil(input_bytes / target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+    }

@@ -76,3 +76,10 @@ def test_windowed_baseline_truncates(spark):
     df = spark.createDataFrame([(2000, 1), (2000, 2), (2001, 5)], "y int, n int")
     out = {(r["y"], r["n"]): r["base"] for r in windowed_baseline(df, "y", "n", "base").collect()}
     assert out == {(2000, 1): 1, (2000, 2): 1, (2001, 5): 5}
+
+
+def test_scale_conf_sizes_partitions():
+    from loanlens.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4)
+    assert c["spark.sql.shuffle.partitions"] == "409600"
+    assert scale_conf(1)["spark.sql.shuffle.partitions"] == "8"
