@@ -1,0 +1 @@
+"""Inputs: driver tables, the loan table (derived or stored), explicit schema and file I/O."""
