@@ -37,6 +37,8 @@ def main(argv: list[str] | None = None) -> int:
         r.add_argument("--show", type=int, default=0)
         r.add_argument("--materialize", action="store_true",
                        help="store the loan table once (in spark.checkpoint.dir) first")
+        r.add_argument("--member-buckets", type=int,
+                       help="with --materialize: bucket the stored table by member_key")
         r.add_argument("--master")
     a = p.parse_args(argv)
 
@@ -51,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     from loanlens.sources.loans import materialize_loans
     spark = get_session(a.master)
     if a.materialize:
-        materialize_loans(spark, a.sf_dir)
+        materialize_loans(spark, a.sf_dir, member_buckets=a.member_buckets)
     qs = registry.queries()
     names = [a.analysis] if a.cmd == "run" else list(qs)
     for name in names:
