@@ -23,6 +23,7 @@ from loanlens.sources.tables import bounded_broadcast, read_table
 LOANS_PATH_CONF = "loanlens.loans.path"
 LOANS_SOURCE_CONF = "loanlens.loans.source"   # sf_dir the stored copy was built from
 LOANS_TABLE_CONF = "loanlens.loans.table"     # catalog table of a bucketed stored copy
+AUTO_MATERIALIZE_CONF = "loanlens.loans.autoMaterialize"   # "true": store on first use
 
 STATUS_ORDER_PRIORITY = (
     # (o_orderstatus, o_orderpriority or None, loan_status) — fixture mapping
@@ -191,13 +192,19 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loan table for ``sf_dir``: a stored copy if configured, else derived.
 
     A copy stored by ``materialize_loans`` is used only for the ``sf_dir`` it
-    was built from; a path set without a source applies to every call.
+    was built from; a path set without a source applies to every call. With
+    ``loanlens.loans.autoMaterialize=true`` the first call for a new
+    ``sf_dir`` stores the table (in ``spark.checkpoint.dir``) and later calls
+    read it, so a batch of analyses derives the table once, not once each.
     """
     path = spark.conf.get(LOANS_PATH_CONF, None)
     table = spark.conf.get(LOANS_TABLE_CONF, None)
     source = spark.conf.get(LOANS_SOURCE_CONF, None)
     if (path or table) and (not source or source == sf_dir):
         return spark.table(table) if table else spark.read.parquet(path)
+    if spark.conf.get(AUTO_MATERIALIZE_CONF, "false").lower() == "true":
+        # store once per scale, then every analysis reads the stored copy
+        return spark.read.parquet(materialize_loans(spark, sf_dir))
     return derive_loans(spark, sf_dir)
 
 

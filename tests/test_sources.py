@@ -70,3 +70,19 @@ def test_loan_table_equals_duckdb_fixture_sql(spark, duck_mid):
     from conftest import SF_MID
     rep = compare(derive_loans(spark, SF_MID), LOAN_CTE + " SELECT * FROM loan", duck_mid)
     assert rep["ok"], rep
+
+
+
+def test_auto_materialize_stores_once_per_scale(spark):
+    from loanlens.sources.loans import AUTO_MATERIALIZE_CONF
+    spark.conf.set(AUTO_MATERIALIZE_CONF, "true")
+    try:
+        first = loans(spark, SF_SMALL)
+        path = spark.conf.get(LOANS_PATH_CONF)
+        second = loans(spark, SF_SMALL)
+        assert spark.conf.get(LOANS_PATH_CONF) == path
+        assert "l_orderkey" not in second._jdf.queryExecution().optimizedPlan().toString()
+        assert first.count() == second.count() == derive_loans(spark, SF_SMALL).count()
+    finally:
+        for k in (AUTO_MATERIALIZE_CONF, LOANS_PATH_CONF, LOANS_SOURCE_CONF):
+            spark.conf.unset(k)
