@@ -30,3 +30,14 @@ def test_ingest_two_drops_then_analyse(spark):
     assert stored.count() == src.count()          # first drop not re-read after restart
     fn = registry.loan_functions()["s04_status_summary"]
     assert digest(fn(stored)) == digest(fn(src))
+
+
+def test_ingest_parquet_drops(spark):
+    src = derive_loans(spark, SF_SMALL)
+    d = tempfile.mkdtemp(prefix="loanlens-stream-pq-")
+    landing, table, ckpt = (os.path.join(d, x) for x in ("landing", "table", "ckpt"))
+    src.write.parquet(os.path.join(landing, "drop1"))
+    q = ingest(spark, landing + "/*", table, fmt="parquet", checkpoint_location=ckpt,
+               query_name="t_ingest_pq")
+    q.awaitTermination(120)
+    assert digest(spark.read.parquet(table)) == digest(src)
