@@ -22,7 +22,6 @@ from loanlens.sources.tables import bounded_broadcast, read_table
 
 LOANS_PATH_CONF = "loanlens.loans.path"
 LOANS_SOURCE_CONF = "loanlens.loans.source"   # sf_dir the stored copy was built from
-LOANS_TABLE_CONF = "loanlens.loans.table"     # catalog table of a bucketed stored copy
 AUTO_MATERIALIZE_CONF = "loanlens.loans.autoMaterialize"   # "true": store on first use
 
 STATUS_ORDER_PRIORITY = (
@@ -198,18 +197,16 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     read it, so a batch of analyses derives the table once, not once each.
     """
     path = spark.conf.get(LOANS_PATH_CONF, None)
-    table = spark.conf.get(LOANS_TABLE_CONF, None)
     source = spark.conf.get(LOANS_SOURCE_CONF, None)
-    if (path or table) and (not source or source == sf_dir):
-        return spark.table(table) if table else spark.read.parquet(path)
+    if path and (not source or source == sf_dir):
+        return spark.read.parquet(path)
     if spark.conf.get(AUTO_MATERIALIZE_CONF, "false").lower() == "true":
         # store once per scale, then every analysis reads the stored copy
         return spark.read.parquet(materialize_loans(spark, sf_dir))
     return derive_loans(spark, sf_dir)
 
 
-def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None,
-                      member_buckets: int | None = None) -> str:
+def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     """Derive the loan table once, store it, and point the session at it.
 
     The store goes to the shared folder the cluster names in
@@ -218,9 +215,9 @@ def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None,
     line-item aggregation. A lost executor then costs a re-read of stored
     files, not a recomputation of the join.
 
-    With ``member_buckets`` the copy is a catalog table bucketed by
-    ``member_key``: the per-borrower roll-ups (s16, s23, s36) then aggregate
-    on the stored partitioning without shuffling the table.
+    The copy is deliberately not bucketed by borrower: a borrower holding a
+    third of all loans would put a third of the table into one bucket and
+    one scan task; unbucketed, every scan task pre-aggregates its share.
     """
     from loanlens.session import checkpoint_dir
     import hashlib
@@ -229,16 +226,8 @@ def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None,
     if path is None:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = os.path.join(checkpoint_dir(spark), "loan_table", tag)
-    if member_buckets:
-        table = "loanlens_loans_" + os.path.basename(path.rstrip("/")).replace("-", "_")
-        (derive_loans(spark, sf_dir).write.mode("overwrite").option("path", path)
-         .bucketBy(member_buckets, "member_key").saveAsTable(table))
-        spark.conf.unset(LOANS_PATH_CONF)
-        spark.conf.set(LOANS_TABLE_CONF, table)
-    else:
-        write_loans(derive_loans(spark, sf_dir), path)
-        spark.conf.unset(LOANS_TABLE_CONF)
-        spark.conf.set(LOANS_PATH_CONF, path)
+    write_loans(derive_loans(spark, sf_dir), path)
+    spark.conf.set(LOANS_PATH_CONF, path)
     spark.conf.set(LOANS_SOURCE_CONF, sf_dir)
     return path
 

@@ -95,24 +95,3 @@ def test_loan_build_plan_at_scale_shape(spark):
             else:
                 spark.conf.set(k, v)
 
-
-def test_member_bucketed_store_removes_the_borrower_shuffle(spark):
-    import tempfile as _t
-
-    from loanlens.sources.loans import (LOANS_SOURCE_CONF, LOANS_TABLE_CONF, loans,
-                                        materialize_loans)
-    from helpers import digest
-    path = _t.mkdtemp(prefix="loanlens-bucket-") + "/loans_b"
-    plain = derive_loans(spark, SF_SMALL)
-    materialize_loans(spark, SF_SMALL, path, member_buckets=4)
-    try:
-        stored = loans(spark, SF_SMALL)
-        for name in ("s16_repeat_borrower_basic", "s23_repeat_borrower_history",
-                     "s36_borrower_progression"):
-            fn = registry.loan_functions()[name]
-            phys = _plan(fn(stored))
-            assert "Exchange hashpartitioning(member_key" not in phys, name
-            assert digest(fn(stored)) == digest(fn(plain)), name
-    finally:
-        spark.conf.unset(LOANS_TABLE_CONF)
-        spark.conf.unset(LOANS_SOURCE_CONF)
