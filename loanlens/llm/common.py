@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,19 +24,6 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def session_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
-    """SQL settings (dots written as ``__``) for the block, put back afterwards."""
-    old = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k.replace("__", "."), v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; sizes blocks and shards, and nothing else."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

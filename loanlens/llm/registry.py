@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import op6_repeats, op8_automata
+from loanlens.llm import op6_repeats, op8_automata, op9_minhash
 
 _QUERIES = (
     op6_repeats.op6_maximal_repeats,
     op8_automata.op8_repeated_phrases,
+    op9_minhash.op9_minhash,
 )
 
 
