@@ -247,7 +247,8 @@ class Contexts:
         self.order, self.pieces = _by_part(self.shard, n)
 
 
-_CONTEXT_SCHEMA = ("shard long, __block long, texts binary, ends binary, windows binary, anchors binary, "
+#: ``doc_ids``: distinct ids of the row's first documents, ``first_doc`` numbers in them.
+_CONTEXT_SCHEMA = ("shard long, __block long, texts binary, windows binary, anchors binary, doc_ids binary, "
                    "first_doc binary, first_start binary, twice binary")
 _ANSWER_SCHEMA = ("shard long, __block long, item binary, at binary, size binary, first_doc binary, first_start binary, "
                   "repeat_id binary")
@@ -263,10 +264,10 @@ def _context_rows(spec: Spec, n_buckets: int, n_shards: int) -> Callable:
         rows = []
         for shard, a, b in c.pieces:
             own = c.order[a:b]
-            texts = [c.texts[u] for u in own.tolist()]
-            rows.append((shard, number, b"".join(texts), np.cumsum([len(t) for t in texts]).astype(np.int64).tobytes(),
-                         c.windows[own].astype(np.int16).tobytes(), c.anchor[own].tobytes(),
-                         c.first_doc[own].tobytes(), c.first_start[own].astype(np.int64).tobytes(), c.twice[own].tobytes()))
+            ids, doc = np.unique(c.first_doc[own], return_inverse=True)
+            rows.append((shard, number, b"".join([c.texts[u] for u in own.tolist()]), c.windows[own].astype(np.uint8).tobytes(),
+                         _low(c.anchor[own]).tobytes(), ids.tobytes(), doc.astype(np.uint32).tobytes(),
+                         c.first_start[own].astype(np.uint32).tobytes(), c.twice[own].tobytes()))
         return _table(rows, _CONTEXT_SCHEMA)
     return run
 
@@ -296,22 +297,24 @@ class Shard:
 Finder = Callable[[Shard], tuple[np.ndarray, ...]]
 
 
-def _shard_answers(spec: Spec, finder: Finder, most: int) -> Callable:
+def _shard_answers(spec: Spec, finder: Finder, most: int, whole: bool) -> Callable:
+    """``whole``: answer with every occurrence, not only with those that may be removed."""
     def column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
         raw, off = arrow_binary(table[name])
         return raw.view(kind), off // np.dtype(kind).itemsize
 
     def run(table: pa.Table) -> pa.Table:
-        raw, off = arrow_binary(table["texts"])
-        data = raw.tobytes()
-        ends, per = column(table, "ends", np.int64)
-        n = len(ends)
+        data = arrow_binary(table["texts"])[0].tobytes()
+        windows, per = column(table, "windows", np.uint8)
+        n = len(windows)
         row = np.repeat(np.arange(table.num_rows), np.diff(per))
-        stop = ends + off[row]
-        start = np.r_[0, stop[:-1]] if n else stop
-        windows, anchors, docs, starts, twice = (
-            column(table, c, k)[0] for c, k in (("windows", np.int16), ("anchors", np.uint64), ("first_doc", np.int64),
-                                                ("first_start", np.int64), ("twice", bool)))
+        size = (windows.astype(np.int64) + spec.length - 1) * spec.width
+        stop = np.cumsum(size)
+        start = stop - size
+        ids, id_off = column(table, "doc_ids", np.int64)
+        docs = ids[id_off[:-1][row] + column(table, "first_doc", np.uint32)[0]] if n else ids
+        starts = column(table, "first_start", np.uint32)[0].astype(np.int64)
+        anchors, twice = column(table, "anchors", np.uint32)[0], column(table, "twice", bool)[0]
         seen: dict = {}
         uid = np.zeros(n, np.int64)
         for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist())):
@@ -347,12 +350,21 @@ def _shard_answers(spec: Spec, finder: Finder, most: int) -> Callable:
         ptr = np.searchsorted(item[by], np.arange(m + 1))
         counts = np.diff(ptr)[uid] if n else np.zeros(0, np.int64)
         take = by[np.repeat(ptr[:-1][uid] if n else ptr[:0], counts) + _ramp(counts)]
-        number = np.repeat(np.arange(n) - per[row] if n else np.zeros(0, np.int64), counts)
+        asked = np.repeat(np.arange(n), counts)
+        if not whole and n:
+            later = docs[asked] > doc[take]
+            if spec.by_start:
+                later |= (docs[asked] == doc[take]) & (starts[asked] + at[take] > first[take])
+            use = later | twice[asked]
+            asked, take, counts = asked[use], take[use], np.bincount(asked[use], minlength=n)
+        number = asked - per[row][asked] if n else asked
         edge = np.r_[0, np.cumsum(counts)][per] if n else np.zeros(table.num_rows + 1, np.int64)
-        cols = [number.astype(np.int32), at[take].astype(np.int16), size[take].astype(np.int16),
-                doc[take].astype(np.int64), first[take].astype(np.int64), rid[take].astype(np.uint64)]
+        cols = [number.astype(np.int32), at[take].astype(np.int16), size[take].astype(np.int16), doc[take].astype(np.int64),
+                first[take].astype(np.int64) if spec.by_start else np.zeros(0, np.int64),
+                rid[take].astype(np.uint64) if whole else np.zeros(0, np.uint64)]
+        edges = [edge if len(c) or not len(number) else np.zeros_like(edge) for c in cols]
         shard, blocks = table["shard"].to_pylist(), table["__block"].to_pylist()
-        rows = [(shard[i], blocks[i], *(c[edge[i]:edge[i + 1]].tobytes() for c in cols))
+        rows = [(shard[i], blocks[i], *(c[e[i]:e[i + 1]].tobytes() for c, e in zip(cols, edges)))
                 for i in range(table.num_rows) if edge[i + 1] > edge[i]]
         return _table(rows, _ANSWER_SCHEMA)
     return run
@@ -375,6 +387,7 @@ def _occurrences(spec: Spec, block: Block, anchors: pa.Table, answers: pa.Table,
     item = c.order[np.repeat(base, np.diff(item_off) // 4) + item] if len(item) else item
     at, size, doc, first, rid = (per[n][0].view(k) for n, k in (
         ("at", np.int16), ("size", np.int16), ("first_doc", np.int64), ("first_start", np.int64), ("repeat_id", np.uint64)))
+    first, rid = (x if len(x) else np.zeros(len(item), x.dtype) for x in (first, rid))
     by = np.argsort(item, kind="stable")
     ptr = np.searchsorted(item[by], np.arange(len(c.texts) + 1))
     counts = np.diff(ptr)[c.uid] if len(c.uid) else np.zeros(0, np.int64)
@@ -460,7 +473,7 @@ def find(docs: DataFrame, spec: Spec, finder: Finder, *, output: str, block_byte
     recurring = anchors.groupBy("bucket").applyInArrow(_recurring, "bucket long, __block long, hashes binary")
     contexts = blocks.groupBy("__block").cogroup(recurring.groupBy("__block")).applyInArrow(
         _context_rows(spec, n_buckets, n_shards), _CONTEXT_SCHEMA)
-    answers = contexts.groupBy("shard").applyInArrow(_shard_answers(spec, finder, shard_windows), _ANSWER_SCHEMA)
+    answers = contexts.groupBy("shard").applyInArrow(_shard_answers(spec, finder, shard_windows, output == "repeats"), _ANSWER_SCHEMA)
 
     none = F.lit(None).cast("binary")
     back = recurring.select(F.lit(0).alias("kind"), "__block", "bucket", "hashes", F.lit(0).cast("long").alias("shard"),
