@@ -38,6 +38,7 @@ from loanlens.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85                    # linked from this Jaccard similarity, in hundredths
+NEAR_PERCENT = 80               # the same in the pipeline
 BANDS, ROWS = 48, 9
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PIECE = 2000                    # documents signed at a time

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import op6_repeats, op8_automata, op9_minhash
+from loanlens.llm import op1_decontaminate, op4_quality, op6_repeats, op8_automata, op9_minhash, op10_sentencepiece
 
 _QUERIES = (
+    op1_decontaminate.op1_decontamination,
+    op4_quality.op4_quality,
     op6_repeats.op6_maximal_repeats,
     op8_automata.op8_repeated_phrases,
     op9_minhash.op9_minhash,
+    op10_sentencepiece.op10_sentencepiece,
 )
 
 
