@@ -4,16 +4,15 @@ Each text's set of 5-word shingles is hashed once; the hash range is cut into
 bins and each bin keeps its minimum. Empty bins take the value of another bin
 by optimal densification: bin i tries the bins hash(i, 1), hash(i, 2), ...
 until one is filled, the same sequence for every document. Bands of bins are
-buckets. A bucket proposes a star: its smallest document against the others, so
-the pairs grow with the rows and not with their square.
+buckets. A bucket proposes a star: its most central document (the one that shares
+most buckets with others) against the rest, so the pairs grow with the rows and not with their square.
 
-Proposed pairs are confirmed on the full sets, links give components, and a
-bucket whose members are still in different components proposes further stars,
-one centre for each component in it, until no bucket has an untested pair
-across components. So a link is not lost because a star's centre was not
-linked; only a pair that shares none of the bands is (at the threshold itself
-about 1 in 700 million at 0.85 and 8 in a million at 0.8, see
-``miss_probability``).
+Proposed pairs are confirmed on the full sets. Two members of a bucket that are
+both not linked to its centre can still be linked to each other; ``_unstarred``
+finds all such pairs exactly, by the shingles in which they differ from the
+centre. So no link is lost because a star's centre was not linked; only a pair
+that shares none of the bands is (at the threshold itself about 1 in 700
+million at 0.85 and 8 in a million at 0.8, see ``miss_probability``).
 
 Texts with equal sets are one node from the start; copies are never paired.
 
@@ -145,6 +144,53 @@ def _sized(percent: int, a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _unstarred(families: DataFrame, links: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a family (the members of a centre's buckets) that may be linked though the star has not joined them.
+
+    With D = the shingles in which a member and the centre differ, members x and y differ in
+    |Dx| + |Dy| - 2 |Dx & Dy| shingles; linked ones in at most k (|x| + |y|), k = (100 - percent) / (100 + percent).
+    A member far from the centre (not linked to it) has |Dy| > k (|y| + |centre|). So x and a far y have at least
+    c(x) = (|Dx| - k (|x| - |centre|)) / 2 differing shingles in common, of those that two members or more have (S). In any
+    one order, c common ones of S put one among the first |S| - c + 1 of x's, and two among the first |S| - c + 2 of both
+    if both are far; the order is the rarest first. Members linked to the centre need no pair among themselves, and those
+    of one size that differ from it alike in S are linked to the same far ones, so one of them stands for all.
+    Edits seldom meet, so this is short also in a large family of copies of one text.
+    """
+    k = (100 - percent) / (100 + percent)
+    linked = links.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.lit(True).alias("near"))
+    known = (families.withColumn("lx", F.least("centre", "node")).withColumn("ly", F.greatest("centre", "node"))
+             .join(linked, ["lx", "ly"], "left").join(label, "node", "left")
+             .select("centre", "m", "node", "n", F.coalesce("near", F.lit(False)).alias("near"),
+                     F.coalesce("component", "node").alias("component")))
+    open_ = known.groupBy("centre").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    known = known.join(open_.select("centre"), "centre", "left_semi")
+    apart = F.concat(F.array_except("sn", "sc"), F.array_except("sc", "sn"))
+    member = ["centre", "m", "node", "n", "near", "component", "d"]
+    tokens = materialized(
+        known.join(sets.select("node", F.col("shingles").alias("sn")), "node")
+        .join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sc")), "centre")
+        .select(*member[:-1], apart.alias("apart")).select(*member[:-1], F.size("apart").alias("d"), F.explode("apart").alias("token")))
+    often = tokens.groupBy("centre", "token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = tokens.join(often, ["centre", "token"]).groupBy(*member).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("s"))
+    least = F.greatest(F.ceil((F.col("d") - k * (F.col("n") - F.col("m"))) / 2 - 1e-9), F.lit(1)).cast("int")
+    shared = materialized(shared.select(*member, F.col("s.token").alias("s"), F.size("s").alias("size"), least.alias("c")))
+    near = (shared.where("near AND size >= c").groupBy("centre", "component", "n", "d", "s", "size", "c").agg(F.min("node").alias("node"))
+            .select("centre", F.explode(F.slice("s", F.lit(1), F.col("size") - F.col("c") + 1)).alias("key"),
+                    F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na")))
+    far = shared.where("NOT near")
+    single = far.select("centre", F.explode("s").alias("key"), "component", "node", "n", "c")
+    first = F.slice("s", F.lit(1), F.col("size") - F.col("c") + 2)
+    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.xxhash64(x, y))))
+    double = far.where("size >= greatest(c, 2)").select("centre", F.explode(pairs).alias("key"), "component", "node", "n")
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        a = a.select("centre", "key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na")) if "a" not in a.columns else a
+        return (a.join(b, ["centre", "key"]).where((F.col("ca") != F.col("component")) & _sized(percent, "n", "na"))
+                .select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")))
+    once = single.where("c = 1")
+    return met(near, single).union(met(double, double)).union(met(once, once)).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -154,45 +200,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
 
     banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).where("centre < other")
-    members = materialized(banded.join(shared.select("bucket", "centre"), "bucket").distinct())
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    placed = materialized(banded.join(sizes, "bucket"))
+    # the member that meets most others: the text that the others are copies of
+    score = placed.groupBy("node").agg(F.sum("size").alias("score"))
+    members = materialized(placed.select("bucket", "node", "n").join(score, "node"))
+    chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "node", "n")).alias("c")).select(
+        "bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
+    chosen = materialized(chosen)
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     sets = materialized(source.join(candidates, "doc_id", "left_semi").select("doc_id", "text")
                         .mapInArrow(_full_sets, "node long, shingles array<long>"))
 
-    centres = members.select(F.col("node").alias("centre"), F.col("n").alias("m")).distinct()
-    pairs = (members.where("node > centre").select("centre", "node", "n").distinct().join(centres, "centre")
-             .where(_sized(percent, "n", "m")).select(F.col("centre").alias("x"), F.col("node").alias("y")).distinct())
+    families = materialized(members.join(chosen, "bucket").where("node != centre").select("centre", "m", "node", "n").distinct())
+    pairs = families.where(_sized(percent, "n", "m")).select(F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y"))
     # one id with several texts is one document
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b").distinct()
     own = named.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node").distinct()
     several = own.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("z")).where("x < z")
     links = materialized(_linked(pairs, sets, percent).union(
         own.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("node").alias("y")).where("x < y")))
-    used = members.select("bucket", F.col("centre").alias("used")).distinct()
-    label = components(links)
-    turn = 0
-    while True:
-        placed = members.join(label, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-        fresh = placed.join(used.withColumnRenamed("used", "node"), ["bucket", "node"], "left_anti")
-        open_ = fresh.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        fresh = materialized(fresh.join(open_.select("bucket"), "bucket", "left_semi"))
-        if fresh.isEmpty():
-            break
-        # four times as many centres a turn, so the turns grow with the logarithm of a bucket
-        turn += 1
-        rank = F.row_number().over(Window.partitionBy("bucket", "component").orderBy("node"))
-        chosen = fresh.withColumn("rank", rank).where(F.col("rank") <= 4 ** (turn - 1)).select(
-            "bucket", F.col("component").alias("own"), F.col("node").alias("x"), F.col("n").alias("m"))
-        # a pair is untested if neither has been a centre of the bucket
-        star = (fresh.join(chosen, "bucket").where((F.col("component") != F.col("own")) & _sized(percent, "n", "m"))
-                .select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct())
-        more = materialized(_linked(star, sets, percent).join(links, ["x", "y"], "left_anti"))
-        used = materialized(used.union(chosen.select("bucket", F.col("x").alias("used"))))
-        if not more.isEmpty():
-            links = materialized(links.union(more))
-            label = components(links)
+    rest = _unstarred(families, links, components(links), sets, percent)
+    label = components(links.union(_linked(rest, sets, percent)))
     of_set = nodes.select("set_a", "set_b", "node").join(label, "node", "left").select(
         "set_a", "set_b", F.coalesce("component", "node").alias("c"))
     done = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(materialized(of_set), ["set_a", "set_b"], "left")
