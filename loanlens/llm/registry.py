@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import op1_decontaminate, op4_quality, op6_repeats, op8_automata, op9_minhash, op10_sentencepiece
+from loanlens.llm import (
+    op1_decontaminate, op2_order_minhash, op3_toxicity, op4_quality, op5_licenses, op6_repeats, op8_automata, op9_minhash,
+    op10_sentencepiece)
 
 _QUERIES = (
     op1_decontaminate.op1_decontamination,
+    op2_order_minhash.op2_order_minhash,
+    op3_toxicity.op3_toxicity_chain,
     op4_quality.op4_quality,
+    op5_licenses.op5_license_scan,
     op6_repeats.op6_maximal_repeats,
     op8_automata.op8_repeated_phrases,
     op9_minhash.op9_minhash,
