@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.llm import (
     op1_decontaminate, op2_order_minhash, op3_toxicity, op4_quality, op5_licenses, op6_repeats, op8_automata, op9_minhash,
-    op10_sentencepiece)
+    op10_sentencepiece, op7_language, oracles)
 
 _QUERIES = (
     op1_decontaminate.op1_decontamination,
@@ -17,6 +17,7 @@ _QUERIES = (
     op4_quality.op4_quality,
     op5_licenses.op5_license_scan,
     op6_repeats.op6_maximal_repeats,
+    op7_language.op7_language_fusion,
     op8_automata.op8_repeated_phrases,
     op9_minhash.op9_minhash,
     op10_sentencepiece.op10_sentencepiece,
@@ -28,4 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": oracles.OP1,
+        "op6_maximal_repeats": oracles.OP6,
+        "op8_repeated_phrases": oracles.OP8,
+        "op9_minhash": oracles.OP9,
+    }
