@@ -145,16 +145,16 @@ def _sized(percent: int, a: str, b: str) -> F.Column:
 
 
 def _unstarred(families: DataFrame, links: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a family (the members of a centre's buckets) that may be linked though the star has not joined them.
+    """Links of a family (the members of a centre's buckets) across components, which the star has not found.
 
     With D = the shingles in which a member and the centre differ, members x and y differ in
     |Dx| + |Dy| - 2 |Dx & Dy| shingles; linked ones in at most k (|x| + |y|), k = (100 - percent) / (100 + percent).
     A member far from the centre (not linked to it) has |Dy| > k (|y| + |centre|). So x and a far y have at least
-    c(x) = (|Dx| - k (|x| - |centre|)) / 2 differing shingles in common, of those that two members or more have (S). In any
-    one order, c common ones of S put one among the first |S| - c + 1 of x's, and two among the first |S| - c + 2 of both
-    if both are far; the order is the rarest first. Members linked to the centre need no pair among themselves, and those
-    of one size that differ from it alike in S are linked to the same far ones, so one of them stands for all.
-    Edits seldom meet, so this is short also in a large family of copies of one text.
+    c(x) = (|Dx| - k (|x| - |centre|)) / 2 differing shingles in common, of those that two members or more have (S); in any
+    one order, one of them is among the first |S| - c + 1 of x's, and of y's if x is far too. The order is the rarest
+    first, and edits seldom meet, so few pairs do, also in a large family of copies of one text. The sizes of D and the
+    shared S give the similarity of the full sets exactly. Members linked to the centre need no pair among themselves,
+    and those of one size that differ from it alike in S are linked to the same far ones: one stands for all.
     """
     k = (100 - percent) / (100 + percent)
     linked = links.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.lit(True).alias("near"))
@@ -173,22 +173,19 @@ def _unstarred(families: DataFrame, links: DataFrame, label: DataFrame, sets: Da
     often = tokens.groupBy("centre", "token").agg(F.count("*").alias("often")).where("often > 1")
     shared = tokens.join(often, ["centre", "token"]).groupBy(*member).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("s"))
     least = F.greatest(F.ceil((F.col("d") - k * (F.col("n") - F.col("m"))) / 2 - 1e-9), F.lit(1)).cast("int")
-    shared = materialized(shared.select(*member, F.col("s.token").alias("s"), F.size("s").alias("size"), least.alias("c")))
-    near = (shared.where("near AND size >= c").groupBy("centre", "component", "n", "d", "s", "size", "c").agg(F.min("node").alias("node"))
-            .select("centre", F.explode(F.slice("s", F.lit(1), F.col("size") - F.col("c") + 1)).alias("key"),
-                    F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na")))
-    far = shared.where("NOT near")
-    single = far.select("centre", F.explode("s").alias("key"), "component", "node", "n", "c")
-    first = F.slice("s", F.lit(1), F.col("size") - F.col("c") + 2)
-    pairs = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.xxhash64(x, y))))
-    double = far.where("size >= greatest(c, 2)").select("centre", F.explode(pairs).alias("key"), "component", "node", "n")
-
-    def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        a = a.select("centre", "key", F.col("component").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na")) if "a" not in a.columns else a
-        return (a.join(b, ["centre", "key"]).where((F.col("ca") != F.col("component")) & _sized(percent, "n", "na"))
-                .select(F.least("a", "node").alias("x"), F.greatest("a", "node").alias("y")))
-    once = single.where("c = 1")
-    return met(near, single).union(met(double, double)).union(met(once, once)).distinct()
+    shared = shared.select(*member, F.col("s.token").alias("s"), least.alias("c"))
+    near = shared.where("near").groupBy("centre", "m", "n", "near", "component", "d", "s", "c").agg(F.min("node").alias("node"))
+    rows = materialized(near.unionByName(shared.where("NOT near")).where("near = false OR size(s) >= c")
+                        .select("centre", "node", "n", "near", "component", "d", "s", "c", F.posexplode("s").alias("at", "token"))
+                        .withColumn("short", F.col("at") <= F.size("s") - F.col("c")))
+    a = rows.where("short").select("centre", "token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "near", "component", "d", "s")))
+    b = rows.where("NOT near")
+    differ = F.col("d") + F.col("d_a") - 2 * F.size(F.array_intersect("s", "s_a"))
+    both, either = F.col("n") + F.col("n_a") - differ, F.col("n") + F.col("n_a") + differ          # twice the sizes
+    return (a.join(b, ["centre", "token"]).where(
+        (F.col("component") != F.col("component_a")) & (F.col("near_a") | (F.col("short") & (F.col("node_a") < F.col("node"))))
+        & _sized(percent, "n", "n_a") & (100 * both >= percent * either))
+        .select(F.least("node", "node_a").alias("x"), F.greatest("node", "node_a").alias("y")).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -220,8 +217,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     several = own.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("z")).where("x < z")
     links = materialized(_linked(pairs, sets, percent).union(
         own.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("node").alias("y")).where("x < y")))
-    rest = _unstarred(families, links, components(links), sets, percent)
-    label = components(links.union(_linked(rest, sets, percent)))
+    label = components(links)
+    rest = materialized(_unstarred(families, links, label, sets, percent))
+    if not rest.isEmpty():
+        label = components(label.select(F.col("node").alias("x"), F.col("component").alias("y")).union(rest))
     of_set = nodes.select("set_a", "set_b", "node").join(label, "node", "left").select(
         "set_a", "set_b", F.coalesce("component", "node").alias("c"))
     done = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(materialized(of_set), ["set_a", "set_b"], "left")
