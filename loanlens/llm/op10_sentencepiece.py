@@ -33,6 +33,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -153,6 +154,12 @@ class Transducer:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def compiled(model: Model) -> Transducer:
+    """One for all tasks of a worker, with the paths that they have found."""
+    return Transducer(model)
+
+
 def _lists(rows: list[list[int] | None]) -> pa.Array:
     ends = np.cumsum([0, *(len(r or ()) for r in rows)]).astype(np.int32)
     flat = np.fromiter((i for r in rows for i in r or ()), np.int32, int(ends[-1]))
@@ -162,7 +169,7 @@ def _lists(rows: list[list[int] | None]) -> pa.Array:
 
 def _encode(model, check: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(model.value)
+        fst = compiled(model.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, PIECE_ROWS):
                 batch = whole.slice(lo, PIECE_ROWS)
@@ -181,7 +188,7 @@ def _encode(model, check: bool) -> Callable:
 
 def _decode(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(model.value)
+        fst = compiled(model.value)
         for batch in batches:
             texts = [None if ids is None else fst.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])

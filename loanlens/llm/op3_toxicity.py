@@ -211,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Selection, list[Link]]:
     label = (labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
              .agg((F.avg("toxic") >= 0.5).cast("long").alias("label")).withColumnRenamed("doc_id", "__id"))
     texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("binary").alias("__text"))
-    chosen = select(texts.join(label, F.col("__doc") == F.col("__id")).select("label", "__text"))
+    # labels grow with the documents: joined by a shuffle at any size
+    chosen = select(texts.join(label.hint("merge"), F.col("__doc") == F.col("__id")).select("label", "__text"))
     # at most MAX_TRAIN rows of 16 bytes, so they can be broadcast
     few = label.orderBy(F.xxhash64("__id"), "__id").limit(MAX_TRAIN)
     rows = (texts.join(F.broadcast(few), F.col("__doc") == F.col("__id")).select("label", "__text")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm import passages
-from loanlens.llm.common import mix, read_table
+from loanlens.llm.common import gram_hashes, mix, read_table
 
 WINDOW_WORDS = 20
 GRAM = 8
@@ -30,23 +30,21 @@ BLOCK_BYTES = 8 << 20
 SHARD_WINDOWS = 25_000
 
 
-def confirmed(shard: passages.Shard, words: list[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
-    """Numbers of the windows that stand in more than one place."""
-    once: set = set()
-    more: dict[tuple[int, ...], int] = {}
-    for text, n, recurs in zip(words, shard.windows.tolist(), shard.recurs.tolist()):
-        for i in range(n):
-            w = text[i:i + WINDOW_WORDS]
-            if recurs or w in once:
-                more.setdefault(w, len(more))
-            else:
-                once.add(w)
-    return more
+def confirmed(shard: passages.Shard, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places in ``symbols`` of one window of each that stands in more than one place."""
+    windows = shard.windows.astype(np.int64)
+    at = np.repeat(begins, windows) + passages._ramp(windows)
+    if not len(at):
+        return at
+    hashed = gram_hashes(symbols, WINDOW_WORDS)[at]
+    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
+    places = np.bincount(number, 1 + np.repeat(shard.recurs, windows))
+    return at[first[places > 1]]
 
 
-def automaton(phrases: dict[tuple[int, ...], int]) -> ahocorasick.Automaton:
+def automaton(phrases: list[tuple[int, ...]]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, number in phrases.items():
+    for number, phrase in enumerate(phrases):
         a.add_word(phrase, number)
     a.make_automaton()
     return a
@@ -55,17 +53,17 @@ def automaton(phrases: dict[tuple[int, ...], int]) -> ahocorasick.Automaton:
 def phrase_spans(shard: passages.Shard):
     """Finder: each occurrence of each confirmed window, runs of them with one first occurrence merged."""
     size = np.array([len(t) // 8 for t in shard.texts], np.int64)
-    _, dense = np.unique(np.frombuffer(b"".join(shard.texts), np.uint64), return_inverse=True)
-    dense, end = dense.tolist(), np.cumsum(size).tolist()
-    words = [tuple(dense[b - n:b]) for b, n in zip(end, size.tolist())]
-    phrases = confirmed(shard, words)
-    empty = np.zeros(0, np.int64)
-    if not phrases:
+    symbols = np.frombuffer(b"".join(shard.texts), np.uint64)
+    begins = np.cumsum(size) - size
+    places = confirmed(shard, symbols, begins)
+    if not len(places):
+        empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty, np.zeros(0, np.uint64)
-    machine = automaton(phrases)
+    dense = np.unique(symbols, return_inverse=True)[1].tolist()
+    machine = automaton([tuple(dense[p:p + WINDOW_WORDS]) for p in places.tolist()])
     item, at, number = [], [], []
-    for i, text in enumerate(words):
-        for stop, k in machine.iter(text):
+    for i, (a, n) in enumerate(zip(begins.tolist(), size.tolist())):
+        for stop, k in machine.iter(tuple(dense[a:a + n])):
             item.append(i)
             at.append(stop - WINDOW_WORDS + 1)
             number.append(k)
