@@ -12,7 +12,7 @@ from loanlens.llm import (
     op9_minhash, op10_sentencepiece, passages, registry)
 from loanlens.llm.common import WordHashes
 from loanlens.llm.components import components
-from loanlens.plans.verify import compare
+from verify import compare
 
 SF_MID, SF_LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
