@@ -1,9 +1,8 @@
 """Bucket ladders (first matching rule wins; the default also catches NULL).
 
 A ladder is a list of ``(op, operand, label)`` rules plus a default label.
-``op`` is one of ``< <= > >= = between in``. One ladder definition drives
-both the Spark column (``bucketize``) and the oracle's CASE text
-(``loanlens.plans.sqlkit.case_sql``).
+``op`` is one of ``< <= > >= = between in``. The oracles do not use the
+ladders: they state cuts and labels as literals of their own.
 """
 
 from __future__ import annotations

@@ -7,15 +7,17 @@ matching SQL text is produced by ``loanlens.plans.sqlkit``.
 
 * ``avg_x``   exact average: sum of an exact (decimal / integer) column,
               as double, divided by the non-NULL count.
-* ``iavg``    T-SQL ``AVG`` of an integer expression (truncating).
+* ``iavg``    T-SQL ``AVG`` of an integer expression: integer division of sum
+              and count, truncating, as bigint.
+* ``exact_round`` a quotient of exact numbers (counts, decimal sums), divided
+              once in integer arithmetic and rounded once, half away from
+              zero. ``pct``, ``ravg`` and the ratios of averages use it.
 * ``quantize6`` fixes a double at six decimals with IEEE operations only
               (``floor(x * 1e6 + 0.5)`` micro-units), so every engine gets
               the same digits; a plain double->decimal cast does not (Spark
               rounds the shortest decimal string, DuckDB the binary value).
 * ``rnd``     ``ROUND(x, d)`` of a double: ``quantize6`` then decimal
               half-away-from-zero rounding.
-* ``pct``     ``ROUND(num * 100 / den, 2)`` as ``decimal(5,2)``; ``NULL`` on
-              overflow instead of an error.
 * ``ratio6``  a row-level ratio or an inner average, quantized before it
               is averaged again (summing doubles depends on row order).
 """
@@ -83,16 +85,21 @@ def avg_x(x) -> Column:
     return F.try_divide(F.sum(x).cast("double"), F.count(x))
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Integer quotient as bigint, truncated toward zero; NULL when b is 0."""
+    return F.when(b != 0, F.call_function("div", a, F.when(b != 0, b)))
+
+
 def iavg(x) -> Column:
-    """T-SQL integer ``AVG``: truncates toward zero, result int."""
+    """T-SQL integer ``AVG``: truncates toward zero, as bigint."""
     x = c(x)
-    return F.try_divide(F.sum(x).cast("double"), F.count(x)).cast("int")
+    return _div(F.sum(x), F.count(x))
 
 
 def iavg_over(x, w: Window) -> Column:
     """Integer ``AVG(x) OVER (w)``."""
     x = c(x)
-    return F.try_divide(F.sum(x).over(w).cast("double"), F.count(x).over(w)).cast("int")
+    return _div(F.sum(x).over(w), F.count(x).over(w))
 
 
 def quantize6(x) -> Column:
@@ -117,21 +124,48 @@ def to_double(x) -> Column:
     return c(x).cast("double")
 
 
-def pct_value(num, den, divide_first: bool = False) -> Column:
-    """``num * 100 / den`` (or ``num / den * 100``) in double, NULL when den=0."""
-    num, den = to_double(num), c(den)
-    if divide_first:
-        return F.try_divide(num, den) * F.lit(100.0)
-    return F.try_divide(num * F.lit(100.0), den)
+def exact_round(num, den, d: int, p: int = 18) -> Column:
+    """``ROUND(num / den, d)`` of exact numbers, half away from zero; NULL when ``den`` is 0.
+
+    Both are integers or decimals of scale 6 at most, ``den`` is not negative.
+    """
+    num, den = c(num), c(den)
+    twice = _div(F.abs(num) * F.lit(2 * 10 ** d).cast(D(10, 0)) + den, den * F.lit(2).cast(D(1, 0)))
+    units = F.when(num < 0, -twice).otherwise(twice)
+    return (units.cast(D(20, 0)) * dec(Decimal(1).scaleb(-d).to_eng_string() if d else 1)).cast(D(p, d))
+
+
+def _exact(x: Column) -> Column:
+    return x.cast(D(20, 0))
+
 
+def pct(num, den, d: int = 2, p: int = 18, times: int = 100) -> Column:
+    """Rounded percentage of exact numbers, ``decimal(p, d)``."""
+    return exact_round(c(num) * F.lit(times).cast(D(10, 0)), den, d, p)
 
-def pct(num, den, d: int = 2, p: int = 5, divide_first: bool = False) -> Column:
-    """Rounded percentage, ``decimal(p, d)``; NULL when it does not fit."""
-    return rnd(pct_value(num, den, divide_first), d, p)
+
+def ravg(x, d: int, times: int = 1) -> Column:
+    """``ROUND(AVG(x) * times, d)`` of an exact expression: one division, one rounding."""
+    x = c(x)
+    return exact_round(F.sum(x) * F.lit(times).cast(D(10, 0)), F.count(x), d)
+
+
+def ravg_ratio(x, y, d: int, times: int = 100, per: int = 1) -> Column:
+    """``ROUND(AVG(x) * times / (AVG(y) * per), d)`` of exact expressions."""
+    x, y = c(x), c(y)
+    top = F.sum(x) * _exact(F.count(y)) * F.lit(times).cast(D(10, 0))
+    return exact_round(top, F.sum(y) * _exact(F.count(x)) * F.lit(per).cast(D(5, 0)), d)
+
+
+def ravg_diff(x, y, d: int, times: int = 1) -> Column:
+    """``ROUND((AVG(x) - AVG(y)) * times, d)`` of exact expressions."""
+    x, y = c(x), c(y)
+    nx, ny = _exact(F.count(x)), _exact(F.count(y))
+    return exact_round((F.sum(x) * ny - F.sum(y) * nx) * F.lit(times).cast(D(10, 0)), nx * ny, d)
 
 
 def bad_pct() -> Column:
-    """Share of bad loans among the group's rows, decimal(5,2)."""
+    """Share of bad loans among the group's rows, in percent."""
     return pct(count_if(is_bad()), n_rows())
 
 
@@ -153,12 +187,13 @@ def guarded_div(a, b) -> Column:
 # --- money text -------------------------------------------------------------
 
 def currency(x) -> Column:
-    """``FORMAT(x, 'C', 'en-US')`` for non-negative amounts: ``$1,234.50``.
+    """``FORMAT(x, 'C', 'en-US')``: ``$1,234.50``, negative amounts ``-$1,234.50``.
 
     ``x`` must already be a decimal with two places (exact sums), or pass a
     double through ``rnd(x, 2)`` first.
     """
-    return F.concat(F.lit("$"), F.format_number(c(x), 2))
+    x = c(x)
+    return F.concat(F.when(x < 0, F.lit("-$")).otherwise(F.lit("$")), F.format_number(F.abs(x), 2))
 
 
 # --- dates ------------------------------------------------------------------

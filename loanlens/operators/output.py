@@ -11,12 +11,12 @@ def sorted_result(df: DataFrame, *order) -> DataFrame:
     """``ORDER BY`` for a result with one row per segment.
 
     A global ``orderBy`` range-partitions its input, which costs a sampling
-    job to find the bounds; for a result whose size is bounded by the number
-    of segments (bands, statuses, states, cells) sorting it in one task is
-    cheaper. The task merges at most (map tasks x segments) partial rows.
-    Never use it for row-level outputs.
+    job to find the bounds; a result whose size is bounded by the number of
+    segments (bands, statuses, states, cells) is sorted in one task instead.
+    The exchange stands above the final aggregation, which stays parallel: the
+    task gets one row per segment. Never use it for row-level outputs.
     """
-    return df.coalesce(1).sortWithinPartitions(*order)
+    return df.repartition(1).sortWithinPartitions(*order)
 
 
 def sorted_by(*order) -> Callable[[DataFrame], DataFrame]:

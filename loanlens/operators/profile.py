@@ -51,14 +51,14 @@ def profile_with_total(df: DataFrame, keys: Sequence, keep: Column,
     return g.filter(F.col("_keep")).drop("_keep")
 
 
-def share_of_groups(df: DataFrame, count_col: str, out: str, d: int = 2, p: int = 5) -> DataFrame:
+def share_of_groups(df: DataFrame, count_col: str, out: str, d: int = 2) -> DataFrame:
     """``ROUND(n * 100.0 / SUM(n) OVER (), d)``: share among the result groups.
 
     The empty window runs in one task, which is only acceptable because its
     input is already aggregated to a bounded number of groups.
     """
     total = F.sum(count_col).over(Window.partitionBy())
-    return df.withColumn(out, pct(F.col(count_col), total, d, p))
+    return df.withColumn(out, pct(F.col(count_col), total, d))
 
 
 def calibration(df: DataFrame, key: str, expected: Mapping[str, Column],

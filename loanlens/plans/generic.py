@@ -22,7 +22,7 @@ from loanlens.operators.ranking import concentration_curve, multi_rank
 from loanlens.operators.rollup import cohort_trend, entity_rollup, windowed_baseline
 from loanlens.operators.scoring import additive_score, rule_label, scenario_grid
 from loanlens.plans import sqlkit as S
-from loanlens.sources.tables import bounded_broadcast, read_table
+from loanlens.sources.tables import read_table
 
 # instance parameters
 DISCOUNT_BANDS = Ladder((("<", Decimal("0.03"), "Low discount"),
@@ -81,7 +81,7 @@ def _orders_by_nation(spark, sf_dir):
     per_cust = o.groupBy("o_custkey").agg(
         F.sum(F.col("o_totalprice").cast(D(15, 2))).alias("amt"), K.n_rows().alias("cnt"))
     return (per_cust.join(c, per_cust.o_custkey == c.c_custkey)
-            .join(bounded_broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
             .groupBy("n_name").agg(F.sum("amt").cast(D(38, 2)).alias("order_value"),
                                    F.sum("cnt").cast("bigint").alias("orders")))
 
@@ -217,7 +217,7 @@ def g15_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order value per nation as en-US currency text."""
     g = _orders_by_nation(spark, sf_dir)
     return g.select("n_name", K.currency("order_value").alias("order_value_usd"),
-                    K.currency(K.rnd(K.to_double("order_value") / F.col("orders"), 2))
+                    K.currency(K.exact_round("order_value", "orders", 2))
                     .alias("avg_order_value_usd"))
 
 
@@ -235,7 +235,8 @@ bn AS (SELECT n_name, CAST(SUM(amt) AS DECIMAL(38,2)) AS order_value, CAST(SUM(c
 
 SQL = {
     "g01_bucketize": f"""
-SELECT {S.case_sql('CAST(l_discount AS DECIMAL(10,4))', DISCOUNT_BANDS)} AS discount_band, {S.N} AS lines,
+SELECT CASE WHEN CAST(l_discount AS DECIMAL(10,4)) >= 0.07 THEN 'High discount' WHEN CAST(l_discount AS DECIMAL(10,4)) >= 0.03
+            THEN 'Mid discount' ELSE 'Low discount' END AS discount_band, {S.N} AS lines,
        CAST(SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS revenue
 FROM lineitem GROUP BY 1""",
 
@@ -255,7 +256,7 @@ GROUP BY o_orderpriority, c_mktsegment HAVING COUNT(*) >= 100""",
     "g04_portfolio_share": _NATION_CTE + f"""
 SELECT n_name, order_value, orders,
        {S.pct('orders', 'SUM(orders) OVER ()')} AS orders_share_pct,
-       {S.pct('order_value', 'SUM(order_value) OVER ()')} AS value_share_pct
+       {S.pct('CAST(order_value * 100 AS HUGEINT)', 'CAST(SUM(order_value) OVER () * 100 AS HUGEINT)')} AS value_share_pct
 FROM bn""",
 
     "g05_cohort_trend": f"""
@@ -273,12 +274,12 @@ SELECT events, {S.N} AS users, {S.avg_x('total_value')} AS avg_total_value FROM
 WITH pp AS (SELECT l_partkey, SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS rev FROM lineitem GROUP BY l_partkey),
 br AS (SELECT p_brand, CAST(SUM(rev) AS DECIMAL(38,2)) AS brand_revenue
        FROM pp JOIN part ON l_partkey = p_partkey GROUP BY p_brand),
-rk AS (SELECT *, {S.pct('brand_revenue', 'SUM(brand_revenue) OVER ()')} AS revenue_share_pct,
+rk AS (SELECT *, {S.pct('CAST(brand_revenue * 10000 AS HUGEINT)', 'CAST(SUM(brand_revenue) OVER () * 10000 AS HUGEINT)')} AS revenue_share_pct,
               CAST(ROW_NUMBER() OVER (ORDER BY brand_revenue DESC, p_brand ASC) AS INTEGER) AS brand_rank
        FROM br)
 SELECT p_brand, brand_revenue, revenue_share_pct, brand_rank,
        CAST(SUM(revenue_share_pct) OVER (ORDER BY brand_rank) AS DECIMAL(18,2)) AS cumulative_share_pct,
-       {S.case_sql('brand_rank', BRAND_TIERS)} AS brand_tier
+       CASE WHEN brand_rank > 15 THEN 'Other brands' WHEN brand_rank > 5 THEN 'Top 15 brands' ELSE 'Top 5 brands' END AS brand_tier
 FROM rk""",
 
     "g08_multi_rank": _NATION_CTE + """,
@@ -299,9 +300,9 @@ SELECT scenario, gross, CAST(ROUND(discounts * m, 2) AS DECIMAL(38,2)) AS discou
 FROM b CROSS JOIN s""",
 
     "g10_additive_score": f"""
-WITH sc AS (SELECT {S.case_sql('c_acctbal', BALANCE_POINTS)} + {S.case_sql('c_mktsegment', SEGMENT_POINTS)}
-                   + {S.case_sql('c_nationkey', NATION_POINTS)} AS score FROM customer)
-SELECT {S.case_sql('score', CUSTOMER_CATEGORY)} AS category, {S.N} AS customers,
+WITH sc AS (SELECT CASE WHEN c_acctbal >= 7000 THEN 0 WHEN c_acctbal >= 3000 THEN 1 WHEN c_acctbal >= 0 THEN 2 ELSE 3 END + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END
+                   + CASE WHEN c_nationkey >= 15 THEN 3 WHEN c_nationkey >= 5 THEN 2 ELSE 1 END AS score FROM customer)
+SELECT CASE WHEN score > 3 THEN 'High' WHEN score > 1 THEN 'Medium' ELSE 'Low' END AS category, {S.N} AS customers,
        {S.avg_x('score')} AS avg_score, MIN(score) AS min_score, MAX(score) AS max_score
 FROM sc GROUP BY 1""",
 
@@ -323,7 +324,7 @@ SELECT o_orderpriority, {S.N} AS lines, {S.avg_x('days')} AS avg_days, MAX(days)
 FROM d GROUP BY o_orderpriority""",
 
     "g13_calibration": f"""
-SELECT {S.case_sql('n_chars', LENGTH_BANDS)} AS length_band, {S.N} AS docs,
+SELECT CASE WHEN n_chars >= 10000 THEN 'long' WHEN n_chars >= 1000 THEN 'medium' ELSE 'short' END AS length_band, {S.N} AS docs,
        {S.avg_x('n_chars')} AS avg_chars,
        {S.flag_rate('quality = 1')} AS quality_rate, {S.flag_rate('toxic = 1')} AS toxic_rate
 FROM labels JOIN documents USING (doc_id) GROUP BY 1""",
@@ -337,7 +338,7 @@ FROM m""",
 
     "g15_currency": _NATION_CTE + f"""
 SELECT n_name, {S.currency('order_value')} AS order_value_usd,
-       {S.currency(S.rnd('CAST(order_value AS DOUBLE) / orders', 2))} AS avg_order_value_usd
+       {S.currency(S.half_up('CAST(order_value * 100 AS HUGEINT)', 'orders * 100'))} AS avg_order_value_usd
 FROM bn""",
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.plans import generic, tier1, tier2, tier3, tier4
+from loanlens.plans import generic, statements, tier1, tier2, tier3, tier4
 from loanlens.sources.loans import loans
 
 _TIERS = [tier1, tier2, tier3, tier4]
@@ -30,7 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for t in _TIERS:
+    for t in (tier1, tier2, tier3, statements):
         out.update(t.SQL)
     out.update(generic.SQL)
     return out

@@ -3,15 +3,13 @@
 Every analysis has an equivalent SQL statement that DuckDB runs on the same
 Parquet tables. The loan table is inlined as CTEs (``li``, ``base``,
 ``loan``) exactly as specified in FIXTURES.md; the helpers below emit the
-SQL spelling of each canonical form in ``loanlens.functions.canon``.
+SQL spelling of each canonical form of SURVEY 2.5. No constant, ladder or
+formula of the Spark code is imported: ladders stand as literals in the
+statements, and percentages are integer quotients and remainders.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from loanlens.functions.buckets import Ladder
-
 LOAN_CTE = """WITH li AS (
  SELECT l_orderkey,
   count(*) AS n_lines,
@@ -124,11 +122,11 @@ def avg_x(x: str) -> str:
 
 
 def iavg(x: str) -> str:
-    return f"CAST(TRUNC(CAST(SUM({x}) AS DOUBLE) / COUNT({x})) AS INTEGER)"
+    return f"CAST(TRUNC(SUM({x})::DECIMAL(38,0) / COUNT({x})) AS BIGINT)"
 
 
 def iavg_over(x: str, over: str) -> str:
-    return f"CAST(TRUNC(CAST(SUM({x}) OVER ({over}) AS DOUBLE) / COUNT({x}) OVER ({over})) AS INTEGER)"
+    return f"CAST(SUM({x}) OVER ({over}) // COUNT({x}) OVER ({over}) AS BIGINT)"
 
 
 def quantize6(x: str) -> str:
@@ -144,17 +142,29 @@ def rnd(x: str, d: int, p: int = 18) -> str:
     return f"TRY_CAST(ROUND({quantize6(x)}, {d}) AS DECIMAL({p},{d}))"
 
 
-def pct_value(num: str, den: str, divide_first: bool = False) -> str:
-    if divide_first:
-        return f"(CAST({num} AS DOUBLE) / NULLIF({den}, 0) * 100.0)"
-    return f"(CAST({num} AS DOUBLE) * 100.0 / NULLIF({den}, 0))"
+def half_up(num: str, den: str, d: int = 2) -> str:
+    """Quotient of integer expressions: quotient and remainder, then the remainder's half decides."""
+    n, m = f"(abs(({num})::HUGEINT) * {10 ** d})", f"(NULLIF({den}, 0)::HUGEINT)"
+    return (f"CAST((CASE WHEN ({num}) < 0 THEN -1 ELSE 1 END * ({n} // {m} + CASE WHEN {n} % {m} * 2 >= {m} THEN 1 ELSE 0 END))"
+            f"::DECIMAL(30,0) * {'0.' + '0' * (d - 1) + '1' if d else '1'} AS DECIMAL(18,{d}))")
+
+
+def pct(num: str, den: str, d: int = 2) -> str:
+    """Percentage of integer expressions."""
+    return half_up(f"({num})::HUGEINT * 100", den, d)
 
 
-def pct(num: str, den: str, d: int = 2, p: int = 5, divide_first: bool = False) -> str:
-    return rnd(pct_value(num, den, divide_first), d, p)
+def total(x: str, scale: int = 2) -> str:
+    """Sum of a decimal expression in units of its last place, as an integer."""
+    return f"CAST(SUM({x}) * {10 ** scale} AS HUGEINT)"
 
 
-BAD_PCT = pct(f"SUM({flag(BAD)})", "COUNT(*)")
+def mean(x: str, scale: int, d: int, times: int = 1) -> str:
+    """Rounded average of a decimal expression with ``scale`` places."""
+    return half_up(f"{total(x, scale)} * {times}", f"COUNT({x})::HUGEINT * {10 ** scale}", d)
+
+
+BAD_PCT = pct(f"COUNT(*) FILTER ({BAD})", "COUNT(*)")
 
 
 def flag_rate(pred: str) -> str:
@@ -166,37 +176,8 @@ def guarded_div(a: str, b: str) -> str:
 
 
 def currency(x: str) -> str:
-    return f"format('${{:,.2f}}', {x})"
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '' END || format('${{:,.2f}}', abs({x}))"
 
 
 def month_boundaries(start: str, end: str) -> str:
     return f"((year({end}) - year({start})) * 12 + (month({end}) - month({start})))"
-
-
-def _lit(v) -> str:
-    if isinstance(v, str):
-        return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, Decimal):
-        return str(v)
-    return str(v)
-
-
-def case_sql(x: str, ladder: Ladder) -> str:
-    parts = ["CASE"]
-    for op, operand, label in ladder.rules:
-        if op == "between":
-            cond = f"{x} BETWEEN {_lit(operand[0])} AND {_lit(operand[1])}"
-        elif op == "in":
-            cond = f"{x} IN ({', '.join(_lit(v) for v in operand)})"
-        else:
-            cond = f"{x} {op} {_lit(operand)}"
-        parts.append(f"WHEN {cond} THEN {_lit(label)}")
-    parts.append(f"ELSE {_lit(ladder.default)} END")
-    return " ".join(parts)
-
-
-def ordinal_sql(x: str, labels: list, default: int | None = None) -> str:
-    parts = [f"CASE {x}"] + [f"WHEN {_lit(lab)} THEN {i}" for i, lab in enumerate(labels, 1)]
-    if default is not None:
-        parts.append(f"ELSE {default}")
-    return " ".join(parts) + " END"

@@ -19,6 +19,7 @@ from loanlens.operators.output import sorted_by
 from loanlens.plans import sqlkit as S
 
 SNAPSHOT_SINCE = B.SNAPSHOT_SINCE
+SNAPSHOT_IN_RANGE = dt.date(1998, 1, 5)
 
 
 def s01_post2009_snapshot(loans: DataFrame, since: dt.date = SNAPSHOT_SINCE) -> DataFrame:
@@ -28,6 +29,11 @@ def s01_post2009_snapshot(loans: DataFrame, since: dt.date = SNAPSHOT_SINCE) ->
                     "estimated_return", "estimated_loss"))
 
 
+def s01_snapshot_in_range(loans: DataFrame) -> DataFrame:
+    """The snapshot with a cutoff inside the data, a date on which loans originate."""
+    return s01_post2009_snapshot(loans, SNAPSHOT_IN_RANGE)
+
+
 def s02_net_return(loans: DataFrame) -> DataFrame:
     """Closed loans: payments minus gross principal loss (NULL if either is NULL)."""
     return (loans.filter(F.col("loan_status").isin(*B.CLOSED_STATUSES))
@@ -63,7 +69,7 @@ def s04_status_summary(loans: DataFrame) -> DataFrame:
     }, count_name="total_loans")
     total = F.sum("total_loans").over(Window.partitionBy())
     return (g.withColumn("portfolio_share_pct",
-                         K.pct(F.col("total_loans"), total, divide_first=True))
+                         K.pct("total_loans", total))
             .transform(sorted_by(F.desc("total_loans"))))
 
 
@@ -105,6 +111,10 @@ SQL = {
 SELECT loan_origination_date, loan_original_amount, lp_customer_payments, estimated_return, estimated_loss
 FROM loan WHERE loan_origination_date >= DATE '2009-12-31'"""),
 
+    "s01_snapshot_in_range": S.over_loans("""
+SELECT loan_origination_date, loan_original_amount, lp_customer_payments, estimated_return, estimated_loss
+FROM loan WHERE loan_origination_date > DATE '1998-01-04'"""),
+
     "s02_net_return": S.over_loans("""
 SELECT loan_number, loan_original_amount, lender_yield, lp_customer_payments, lp_gross_principal_loss,
        CAST(lp_customer_payments - lp_gross_principal_loss AS DECIMAL(16,2)) AS net_return
@@ -125,7 +135,7 @@ SELECT loan_status,
        MAX(loan_original_amount) AS max_loan_amount,
        {S.avg_x('CAST(borrower_apr AS DECIMAL(10,4))')} AS avg_borrower_apr,
        {S.avg_x('monthly_loan_payment')} AS avg_monthly_payment,
-       {S.pct('COUNT(*)', '(SELECT COUNT(*) FROM loan)', divide_first=True)} AS portfolio_share_pct
+       {S.pct('COUNT(*)', '(SELECT COUNT(*) FROM loan)')} AS portfolio_share_pct
 FROM loan GROUP BY loan_status"""),
 
     "s05_default_factors": S.over_loans(f"""
@@ -145,13 +155,14 @@ SELECT CAST(year(TRY_CAST(loan_origination_raw AS TIMESTAMP)) AS INTEGER) AS ori
        {S.BAD_PCT} AS default_rate_pct,
        {S.avg_x('investors')} AS avg_investors_per_loan,
        CAST(SUM(loan_original_amount) AS DECIMAL(38,2)) AS total_loan_volume,
-       {S.pct(f"SUM({S.flag(S.CURRENT)})", 'COUNT(*)')} AS current_loans_pct
+       {S.pct(f"COUNT(*) FILTER ({S.CURRENT})", 'COUNT(*)')} AS current_loans_pct
 FROM loan WHERE loan_origination_raw IS NOT NULL
 GROUP BY year(TRY_CAST(loan_origination_raw AS TIMESTAMP))"""),
 }
 
 FUNCS = {
     "s01_post2009_snapshot": s01_post2009_snapshot,
+    "s01_snapshot_in_range": s01_snapshot_in_range,
     "s02_net_return": s02_net_return,
     "s03_time_to_default": s03_time_to_default,
     "s04_status_summary": s04_status_summary,

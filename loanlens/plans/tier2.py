@@ -109,8 +109,7 @@ def s13_investor_concentration(loans: DataFrame) -> DataFrame:
         },
         totals={"_all_loans": "loan_count"}, count_name="loan_count")
     return (g.select("investor_tier", "loan_count",
-                     K.pct(F.col("loan_count"), F.col("_all_loans"), divide_first=True)
-                     .alias("portfolio_share_pct"),
+                     K.pct("loan_count", "_all_loans").alias("portfolio_share_pct"),
                      "avg_loan_amount", "avg_percent_funded", "default_rate_pct",
                      "avg_borrower_rate", "total_loan_volume")
             .transform(sorted_by(F.desc("loan_count"))))
@@ -130,11 +129,10 @@ def s14_loss_recovery(loans: DataFrame) -> DataFrame:
             "total_gross_loss": F.sum(gross).cast(D(38, 2)),
             "total_net_loss": F.sum(net).cast(D(38, 2)),
             "avg_recoveries": K.avg_x(rec),
+            "recovery_rate_pct": K.ravg_ratio(rec, gross, 2),
             "avg_investors": K.avg_x("investors"),
         }, count_name="loan_count", where=F.col("lp_gross_principal_loss").isNotNull())
-    recovery = K.guarded_div("avg_recoveries", "avg_gross_principal_loss") * F.lit(100.0)
-    return (g.withColumn("recovery_rate_pct", K.rnd(recovery, 2, 5))
-            .transform(sorted_by(F.desc("loan_count"))))
+    return g.transform(sorted_by(F.desc("loan_count")))
 
 
 def s15_risk_return_rank(loans: DataFrame) -> DataFrame:
@@ -167,19 +165,13 @@ SELECT investment_from_friends_count, {S.N} AS total_loans,
        {S.avg_x('borrower_apr')} AS avg_borrower_apr, {_BADRATE} AS default_rate
 FROM loan GROUP BY investment_from_friends_count"""),
 
-    "s10_dti_segment": S.over_loans(f"""
-SELECT {S.case_sql('debt_to_income_ratio', B.DTI_SEGMENT)} AS dti_segment,
-       {S.N} AS total_loans, {S.avg_x('borrower_apr')} AS avg_borrower_apr, {_BADRATE} AS default_rate
-FROM loan WHERE debt_to_income_ratio IS NOT NULL
-GROUP BY {S.case_sql('debt_to_income_ratio', B.DTI_SEGMENT)}"""),
-
     "s11_term_optimization": S.over_loans(f"""
 SELECT term, {S.N} AS total_loans,
        {S.avg_x('loan_original_amount')} AS avg_loan_amount,
        {S.avg_x('CAST(borrower_rate AS DECIMAL(10,4))')} AS avg_borrower_rate,
        {S.avg_x('CAST(borrower_apr AS DECIMAL(10,4))')} AS avg_borrower_apr,
        {S.BAD_PCT} AS default_rate_pct,
-       {S.pct(f"SUM({S.flag(S.COMPLETED)})", 'COUNT(*)')} AS completion_rate_pct,
+       {S.pct(f"COUNT(*) FILTER ({S.COMPLETED})", 'COUNT(*)')} AS completion_rate_pct,
        {S.avg_x('monthly_loan_payment')} AS avg_monthly_payment,
        CAST(SUM(monthly_loan_payment) AS DECIMAL(38,2)) AS total_monthly_payments,
        {S.avg_x('investors')} AS avg_investors_per_loan
@@ -195,30 +187,6 @@ SELECT is_borrower_homeowner, occupation, {S.N} AS loan_count,
 FROM loan WHERE occupation IS NOT NULL AND occupation <> 'Other'
 GROUP BY is_borrower_homeowner, occupation HAVING COUNT(*) >= 100"""),
 
-    "s13_investor_concentration": S.over_loans(f"""
-SELECT {S.case_sql('investors', B.INVESTOR_TIER)} AS investor_tier, {S.N} AS loan_count,
-       {S.pct('COUNT(*)', '(SELECT COUNT(*) FROM loan)', divide_first=True)} AS portfolio_share_pct,
-       {S.avg_x('loan_original_amount')} AS avg_loan_amount,
-       {S.avg_x('percent_funded')} AS avg_percent_funded,
-       {S.BAD_PCT} AS default_rate_pct,
-       {S.avg_x('CAST(borrower_rate AS DECIMAL(10,4))')} AS avg_borrower_rate,
-       CAST(SUM(loan_original_amount) AS DECIMAL(38,2)) AS total_loan_volume
-FROM loan WHERE investors IS NOT NULL
-GROUP BY {S.case_sql('investors', B.INVESTOR_TIER)}"""),
-
-    "s14_loss_recovery": S.over_loans(f"""
-SELECT {S.case_sql('loan_status', B.LOAN_OUTCOME)} AS loan_outcome, {S.N} AS loan_count,
-       CAST(SUM(loan_original_amount) AS DECIMAL(38,2)) AS total_original_amount,
-       {S.avg_x('CAST(lp_gross_principal_loss AS DECIMAL(15,2))')} AS avg_gross_principal_loss,
-       {S.avg_x('CAST(lp_net_principal_loss AS DECIMAL(15,2))')} AS avg_net_principal_loss,
-       CAST(SUM(CAST(lp_gross_principal_loss AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS total_gross_loss,
-       CAST(SUM(CAST(lp_net_principal_loss AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS total_net_loss,
-       {S.avg_x('CAST(lp_non_principal_recovery_payments AS DECIMAL(15,2))')} AS avg_recoveries,
-       {S.rnd(S.guarded_div(S.avg_x('CAST(lp_non_principal_recovery_payments AS DECIMAL(15,2))'), S.avg_x('CAST(lp_gross_principal_loss AS DECIMAL(15,2))')) + ' * 100.0', 2, 5)} AS recovery_rate_pct,
-       {S.avg_x('investors')} AS avg_investors
-FROM loan WHERE lp_gross_principal_loss IS NOT NULL
-GROUP BY {S.case_sql('loan_status', B.LOAN_OUTCOME)}"""),
-
     "s15_risk_return_rank": S.over_loans(f"""
 SELECT risk_rating, term, {S.N} AS total_loans,
        {S.avg_x('lender_yield')} AS avg_lender_yield, {_BADRATE} AS default_rate,

@@ -11,8 +11,7 @@ from pyspark.sql import SparkSession
 # runtime re-planning the plans assume at scale (AQE: partition coalescing,
 # skew-join splitting). Broadcasts never rest on planner estimates: the
 # static threshold is off, so a side is broadcast only when AQE has measured
-# it below 10 MB at runtime, or when ``bounded_broadcast`` has checked its
-# row count.
+# it below 10 MB at runtime.
 BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
@@ -43,7 +42,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -51,17 +49,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that value is always
-    used. Only when it is unset (local tests) a fresh scratch folder is
-    created and registered.
+    used. Only on a local master (tests) a fresh scratch folder is created
+    when it is unset; on a cluster each node would write its own folder, so
+    there the setting is required.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="loanlens-ckpt-")
-    sc.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 

@@ -8,18 +8,21 @@ one in ``loanlens.loans.path``.
 Plan shape at scale: lineitem is pre-aggregated per order (partial
 aggregation map-side, one shuffle on ``l_orderkey``); orders joins that
 result on the same key, so only orders is shuffled for it; customer joins on
-``custkey`` (sort-merge, AQE splits a hot customer); nation is broadcast
-after a row-count check. All shuffles are planner-inserted, so AQE's skew
-handling applies to every join.
+``custkey`` (sort-merge, both sides directly below their exchanges, so AQE
+splits a hot customer); the order key is unique, so its join has no hot key.
+Building the frame runs no job.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions.canon import D, dec
-from loanlens.sources.tables import bounded_broadcast, read_table
+from loanlens.session import checkpoint_dir
+from loanlens.sources.tables import read_table, table_path
 
 LOANS_PATH_CONF = "loanlens.loans.path"
 LOANS_SOURCE_CONF = "loanlens.loans.source"   # sf_dir the stored copy was built from
@@ -40,30 +43,34 @@ STATUS_DEFAULT = "Current"
 def lineitem_per_order(lineitem: DataFrame) -> DataFrame:
     """Per-order line aggregates (partial aggregation before the shuffle).
 
-    The double -> decimal casts are projected once per line (Spark's cast
-    goes through the decimal text of the double, so it is not free) and
-    the sums reuse them.
+    Quantities and prices become whole hundredths as longs once per line and
+    are summed as longs; only the one row per order is turned into decimals.
     """
     rf = F.col("l_returnflag")
-    ext = F.col("_ext")
-    zero = F.lit(0).cast(D(15, 2))
+    cents = F.col("_cents")
     lines = lineitem.select(
         "l_orderkey", "l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_shipdate",
-        F.col("l_quantity").cast(D(10, 2)).alias("_qty"),
-        F.col("l_extendedprice").cast(D(15, 2)).alias("_ext"))
+        F.rint(F.col("l_quantity") * 100).cast("long").alias("_qty"),
+        F.rint(F.col("l_extendedprice") * 100).cast("long").alias("_cents"))
+
+    def money(total, p=15):
+        return (total.cast(D(16, 0)) * dec("0.01")).cast(D(p, 2))
+
     return lines.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.when(rf == "R", 1).otherwise(0)).alias("n_ret"),
-        F.max("l_discount").cast(D(10, 4)).alias("mx_disc"),
-        F.min("l_discount").cast(D(10, 4)).alias("mn_disc"),
-        F.max("l_tax").cast(D(10, 4)).alias("mx_tax"),
-        F.sum("_qty").cast(D(12, 2)).alias("qty"),
-        F.sum(ext).cast(D(15, 2)).alias("ext"),
-        F.sum(F.when(rf == "R", ext).otherwise(zero)).cast(D(15, 2)).alias("ext_r"),
-        F.sum(F.when(rf == "A", ext).otherwise(zero)).cast(D(15, 2)).alias("ext_a"),
-        F.sum(F.when(F.col("l_linestatus") == "F", ext).otherwise(zero)).cast(D(15, 2)).alias("ext_f"),
+        F.max("l_discount").alias("mx_disc"),
+        F.min("l_discount").alias("mn_disc"),
+        F.max("l_tax").alias("mx_tax"),
+        F.sum("_qty").alias("qty"),
+        F.sum(cents).alias("ext"),
+        F.sum(F.when(rf == "R", cents).otherwise(0)).alias("ext_r"),
+        F.sum(F.when(rf == "A", cents).otherwise(0)).alias("ext_a"),
+        F.sum(F.when(F.col("l_linestatus") == "F", cents).otherwise(0)).alias("ext_f"),
         F.max("l_shipdate").alias("mx_ship"),
-    )
+    ).select("l_orderkey", "n_lines", "n_ret", "mx_ship", money(F.col("qty"), 12).alias("qty"),
+             *(F.col(c).cast(D(10, 4)).alias(c) for c in ("mx_disc", "mn_disc", "mx_tax")),
+             *(money(F.col(c)).alias(c) for c in ("ext", "ext_r", "ext_a", "ext_f")))
 
 
 def _status() -> F.Column:
@@ -83,13 +90,11 @@ def derive_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = lineitem_per_order(read_table(spark, sf_dir, "lineitem"))
 
     # The sort-merge join on the order key reuses the line aggregate's
-    # hash partitioning; only orders is shuffled for it. That exchange is
-    # inserted by the planner (not a user repartition), so AQE can still
-    # split a skewed partition (e.g. a group of duplicated order rows).
+    # hash partitioning; only orders is shuffled for it.
     base = (orders
             .join(li, orders.o_orderkey == li.l_orderkey, "left")
             .join(customer, orders.o_custkey == customer.c_custkey, "inner")
-            .join(bounded_broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
             .withColumn("st", _status())
             .withColumn("_price", F.col("o_totalprice").cast(D(15, 2))))
 
@@ -188,62 +193,83 @@ def derive_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loan table for ``sf_dir``: a stored copy if configured, else derived.
+    """The loan table for ``sf_dir``: the session's stored copy of it, else derived.
 
-    A copy stored by ``materialize_loans`` is used only for the ``sf_dir`` it
-    was built from; a path set without a source applies to every call. With
+    A copy stored by ``materialize_loans`` is used only for the ``sf_dir`` it was
+    built from, and refused when the tables there have changed since. With
     ``loanlens.loans.autoMaterialize=true`` the first call for a new
     ``sf_dir`` stores the table (in ``spark.checkpoint.dir``) and later calls
     read it, so a batch of analyses derives the table once, not once each.
     """
     path = spark.conf.get(LOANS_PATH_CONF, None)
-    source = spark.conf.get(LOANS_SOURCE_CONF, None)
-    if path and (not source or source == sf_dir):
-        return spark.read.parquet(path)
+    if path and spark.conf.get(LOANS_SOURCE_CONF, None) == sf_dir:
+        return stored_loans(spark, path, sf_dir)
     if spark.conf.get(AUTO_MATERIALIZE_CONF, "false").lower() == "true":
         # store once per scale, then every analysis reads the stored copy
         return spark.read.parquet(materialize_loans(spark, sf_dir))
     return derive_loans(spark, sf_dir)
 
 
+SOURCE_TABLES = ("orders", "customer", "nation", "lineitem")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files of the tables that loans are derived from."""
+    jvm, found = spark._jvm, []
+    for name in SOURCE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{name}/{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def stored_loans(spark: SparkSession, path: str, sf_dir: str) -> DataFrame:
+    """A stored copy, after a check that it was built from ``sf_dir`` as it is now."""
+    built = spark.read.json(_record_path(path)).first()
+    if built is None or built.source != sf_dir:
+        raise ValueError(f"{path} was not built from {sf_dir}")
+    if built.state != source_state(spark, sf_dir):
+        raise ValueError(f"the tables in {sf_dir} have changed since {path} was stored; store it again")
+    return spark.read.parquet(path)
+
+
+def _record_path(path: str) -> str:
+    return path.rstrip("/") + "_source"
+
+
 def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
     """Derive the loan table once, store it, and point the session at it.
 
     The store goes to the shared folder the cluster names in
-    ``spark.checkpoint.dir`` (never a machine-local folder): it cuts the
-    lineage of the three-way join and spares every later analysis the
-    line-item aggregation. A lost executor then costs a re-read of stored
-    files, not a recomputation of the join.
+    ``spark.checkpoint.dir`` (required there): it cuts the lineage of the
+    three-way join and spares every later analysis the line-item
+    aggregation. A lost executor then costs a re-read of stored files, not a
+    recomputation of the join. Beside it stands a record of what it was built
+    from, see ``stored_loans``.
 
     The copy is deliberately not bucketed by borrower: a borrower holding a
     third of all loans would put a third of the table into one bucket and
     one scan task; unbucketed, every scan task pre-aggregates its share.
     """
-    from loanlens.session import checkpoint_dir
-    import hashlib
-    import os
-
     if path is None:
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        path = os.path.join(checkpoint_dir(spark), "loan_table", tag)
+        tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+        path = f"{checkpoint_dir(spark)}/loan_table/{tag}"
+    state = source_state(spark, sf_dir)
     write_loans(derive_loans(spark, sf_dir), path)
+    spark.createDataFrame([(sf_dir, state)], "source string, state string").coalesce(1).write.mode("overwrite").json(_record_path(path))
     spark.conf.set(LOANS_PATH_CONF, path)
     spark.conf.set(LOANS_SOURCE_CONF, sf_dir)
     return path
 
 
-def write_loans(df: DataFrame, path: str, partition_by_year: bool = False) -> str:
+def write_loans(df: DataFrame, path: str) -> str:
     """Store the loan table as Parquet.
 
     Each task's output is sorted by origination date (a local sort, no
     shuffle), so Parquet row-group min/max statistics make date filters
-    (s01, cohort ranges) skip row groups. ``partition_by_year`` also
-    writes one directory per origination year.
+    (s01, cohort ranges) skip row groups.
     """
-    df = df.sortWithinPartitions("loan_origination_date")
-    if partition_by_year:
-        df = df.withColumn("origination_year", F.year("loan_origination_date"))
-        df.write.mode("overwrite").partitionBy("origination_year").parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    df.sortWithinPartitions("loan_origination_date").write.mode("overwrite").parquet(path)
     return path

@@ -9,6 +9,7 @@ reads back to exactly the same DataFrame.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MONEY = T.DecimalType(15, 2)
@@ -40,15 +41,42 @@ LOAN_COLUMNS: list[tuple[str, T.DataType]] = [
 LOAN_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in LOAN_COLUMNS])
 
 # a blank field is NULL; a quoted empty field ("") is the empty string: the
-# reader maps blanks to a sentinel that then reads as NULL
-CSV_OPTIONS = {"header": "true", "dateFormat": "yyyy-MM-dd", "mode": "FAILFAST",
+# reader maps blanks to a sentinel that then reads as NULL. Columns are bound
+# by the header's names: a file whose header differs from the others' fails.
+CSV_OPTIONS = {"header": "true", "mode": "FAILFAST", "enforceSchema": "false",
                "nullValue": "\\N", "emptyValue": ""}
 
+_DATES = ("loan_origination_date", "loan_origination_raw")
 
-def read_loans_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read a loan-table CSV export with the fixed schema (no inference, no
-    silent dropping: a malformed record fails the job)."""
-    return spark.read.schema(LOAN_SCHEMA).options(**CSV_OPTIONS).csv(path)
+
+def by_name(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """The 48 loan columns from text columns, bound by name and cast (a malformed value fails).
+
+    ``mapping``: file header -> loan column, for files of other origin; without
+    it the headers are the loan columns' names. Other columns are ignored, a
+    missing one fails. One mapped date text fills both date columns: the raw
+    text as it is, the date NULL where the text is no date.
+    """
+    source = {col: head for head, col in (mapping or {n: n for n, _ in LOAN_COLUMNS}).items()}
+    given = [d for d in _DATES if d in source]
+    if mapping and len(given) == 1:
+        source |= {d: source[given[0]] for d in _DATES}
+    missing = [f"{n} ({source.get(n, 'not mapped')})" for n, _ in LOAN_COLUMNS if source.get(n) not in df.columns]
+    if missing:
+        raise ValueError("the file lacks: " + ", ".join(missing))
+
+    def typed(name: str, kind: T.DataType):
+        x = F.col("`" + source[name].replace("`", "``") + "`")
+        if mapping and len(given) == 1 and name == "loan_origination_date":
+            return x.try_cast("timestamp").cast(kind)
+        return x.cast(kind)
+    return df.select(*(typed(n, t).alias(n) for n, t in LOAN_COLUMNS))
+
+
+def read_loans_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
+    """Read CSV files with a header by column name, see ``by_name``. No inference, no
+    silent dropping: a malformed record or value fails the job."""
+    return by_name(spark.read.options(**CSV_OPTIONS).csv(path), mapping)
 
 
 def write_loans_csv(df: DataFrame, path: str) -> str:

@@ -1,9 +1,8 @@
-"""Readers for the driver's Parquet tables and a size-checked broadcast."""
+"""Readers for the driver's Parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -20,14 +19,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise KeyError(name)
     return spark.read.parquet(table_path(sf_dir, name))
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark ``df`` for broadcast only if it provably holds at most ``max_rows``.
-
-    The bound is checked with a ``limit(max_rows + 1)`` count, which reads at
-    most a few row groups; beyond the bound the frame is returned unchanged
-    and the planner picks a shuffle join (AQE may still demote it to a
-    broadcast from runtime statistics).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -20,13 +20,13 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck_small():
-    from loanlens.plans.verify import duck_connection
+    from verify import duck_connection
     return duck_connection(SF_SMALL)
 
 
 @pytest.fixture(scope="session")
 def duck_mid():
-    from loanlens.plans.verify import duck_connection
+    from verify import duck_connection
     return duck_connection(SF_MID)
 
 

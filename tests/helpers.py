@@ -25,6 +25,6 @@ def digest(df):
     """Order-insensitive exact multiset of rows (columns sorted by name)."""
     from collections import Counter
 
-    from loanlens.plans.verify import _norm
+    from verify import _norm
     cols = sorted(df.columns)
     return Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())

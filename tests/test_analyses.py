@@ -174,8 +174,41 @@ def test_s01_with_a_cutoff_inside_the_data(spark, loans_mid, duck_mid):
     function with an earlier cutoff is checked against the oracle text."""
     import datetime as dt
 
-    from loanlens.plans.verify import compare
+    from verify import compare
     df = tier1.s01_post2009_snapshot(loans_mid, since=dt.date(2001, 1, 1))
     sql = tier1.SQL["s01_post2009_snapshot"].replace("DATE '2009-12-31'", "DATE '2001-01-01'")
     rep = compare(df, sql, duck_mid)
     assert rep["ok"] and rep["spark_rows"] > 1000, rep
+
+
+def test_s33_cuts_on_the_exact_ratio(spark):
+    # 15.00000025 %: above the cut, though six decimals of the ratio say 15
+    rows = [{"monthly_loan_payment": "30000.02", "stated_monthly_income": "200000.13", "loan_status": "Current"},
+            {"monthly_loan_payment": "15.00", "stated_monthly_income": "100.00", "loan_status": "Current"}]
+    out = {r["pti_bucket"]: r["loan_count"] for r in tier4.s33_payment_to_income(make_loans(spark, rows)).collect()}
+    assert out == {"Low (16–25%)": 1, "Very Low (≤15%)": 1}
+
+
+def test_s34_keeps_wide_ratios(spark):
+    rows = [{"occupation": "Pilot", "employment_status": "Employed", "loan_original_amount": "10000.00",
+             "stated_monthly_income": "83.00", "loan_status": "Current"}] * 100
+    assert tier4.s34_occupation_risk(make_loans(spark, rows)).first()["loan_to_annual_income_ratio"] == Decimal("1004.02")
+
+
+def test_s01_in_range_has_rows_on_the_cutoff(spark, loans_mid):
+    rows = tier1.s01_snapshot_in_range(loans_mid)
+    assert rows.where(F.col("loan_origination_date") == F.lit(tier1.SNAPSHOT_IN_RANGE)).count() > 0
+    assert 0 < rows.count() < loans_mid.count()
+
+
+def test_a_changed_cut_turns_its_key_red(spark, duck_small, monkeypatch):
+    import dataclasses
+
+    import __spark_entry__ as E
+    from loanlens.functions import buckets as B
+    from verify import compare
+    from conftest import SF_SMALL
+    (op, cut, label), *rest = B.DTI_RANGE.rules
+    monkeypatch.setattr(B, "DTI_RANGE", dataclasses.replace(B.DTI_RANGE, rules=((op, cut + Decimal("0.02"), label), *rest)))
+    rep = compare(E.queries()["s18_dti_delinquency"](spark, SF_SMALL), E.oracle_sql()["s18_dti_delinquency"], duck_small)
+    assert not rep["ok"]

@@ -8,12 +8,12 @@ from conftest import ROOT, SF_SMALL
 
 
 def test_bench_prints_one_json_line():
-    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_REPS="1", BENCH_E2E="0")
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_REPS="1", BENCH_E2E="0", BENCH_LLM="0")
     out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], env=env,
                          capture_output=True, text=True, timeout=900, check=True).stdout
     lines = [ln for ln in out.splitlines() if ln.strip()]
     assert len(lines) == 1
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001
-    assert len([k for k in d["queries"] if k.startswith("s")]) == 38
+    assert len([k for k in d["queries"] if k.startswith("s")]) == 39
     assert d["value"] > 0

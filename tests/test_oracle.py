@@ -2,12 +2,13 @@
 import pytest
 
 import __spark_entry__ as E
-from loanlens.plans.verify import compare
+from verify import compare
 
 from conftest import SF_MID, SF_SMALL
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+# the corpus operators have tests of their own
+QUERIES = {k: v for k, v in E.queries().items() if k[0] in "sg"}
+SQL = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 def test_every_query_has_an_oracle():

@@ -75,8 +75,8 @@ def test_loan_build_plan_at_scale_shape(spark):
     """With automatic broadcasts off (as for 100 TB inputs) the build shuffles
     exactly: orders and line aggregate on the order key (co-partitioned, no
     exchange between the aggregate and the join), then both sides of the
-    customer join on the customer key. Only the row-checked nation table is
-    broadcast."""
+    customer join on the customer key, and both sides of the small nation
+    join, which AQE broadcasts from its measured size. Building it runs no job."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
                                           "spark.sql.adaptive.autoBroadcastJoinThreshold")}
     try:
@@ -86,9 +86,8 @@ def test_loan_build_plan_at_scale_shape(spark):
         phys = df._jdf.queryExecution().executedPlan().toString()
         ex = [ln.strip() for ln in phys.splitlines() if "Exchange hashpartitioning" in ln]
         keys = sorted(ln.split("hashpartitioning(")[1].split("#")[0] for ln in ex)
-        assert keys == ["c_custkey", "l_orderkey", "o_custkey", "o_orderkey"], ex
-        assert phys.count("SortMergeJoin") == 2
-        assert phys.count("BroadcastExchange") == 1
+        assert keys == ["c_custkey", "c_nationkey", "l_orderkey", "n_nationkey", "o_custkey", "o_orderkey"], ex
+        assert phys.count("SortMergeJoin") == 3 and "BroadcastExchange" not in phys
     finally:
         for k, v in old.items():
             if v is None:
@@ -96,3 +95,29 @@ def test_loan_build_plan_at_scale_shape(spark):
             else:
                 spark.conf.set(k, v)
 
+
+
+@pytest.mark.parametrize("name", sorted(registry.loan_functions()))
+def test_final_aggregate_is_parallel(spark, stored, name):
+    """The one-task sort of a result reads an exchange above the last aggregate."""
+    phys = _plan(registry.loan_functions()[name](stored))
+    assert "Coalesce 1" not in phys
+    lines = [ln.strip(" +-:") for ln in phys.splitlines()]
+    aggregates = [i for i, ln in enumerate(lines) if "HashAggregate(" in ln or "SortAggregate(" in ln]
+    if aggregates and "keys=[]" not in lines[aggregates[0]] and any("RoundRobin" in ln or ln.startswith("Exchange SinglePartition") for ln in lines):
+        assert any("Exchange" in ln for ln in lines[:aggregates[0]]), phys
+
+
+def test_building_a_frame_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        # reading a Parquet footer for the schema is a job of the reader
+        before = len(tracker.getJobIdsForGroup("build"))
+        for t in ("orders", "customer", "nation", "lineitem"):
+            spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        footers = len(tracker.getJobIdsForGroup("build")) - before
+        derive_loans(spark, SF_SMALL)
+        assert len(tracker.getJobIdsForGroup("build")) - before == 2 * footers
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

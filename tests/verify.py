@@ -2,7 +2,7 @@
 
 Compares row count, column names and types, and the multiset of rows with
 exact values (decimals by their digits, doubles bit for bit). Used by the
-tests and by ``python -m loanlens.plans.verify <sf_dir> [name ...]``.
+tests and by ``python -m verify <sf_dir> [name ...]``.
 """
 
 from __future__ import annotations
