@@ -57,7 +57,7 @@ def ids_of(column: pa.ChunkedArray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash of a word; emptied when it has grown large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -49,7 +49,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 8.0
 FALLBACK_COST = 1000.0          # per byte: only where no piece covers a character
-CACHED = 400_000                # paths kept by a worker
+CACHED = 300_000                # paths kept by a worker
 CACHED_LENGTH = 48
 PIECE_ROWS = 1000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6

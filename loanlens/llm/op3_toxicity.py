@@ -58,7 +58,7 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 class Features(dict):
     """word -> numbers of its features, or their places among the selected ones."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, place: dict[int, int] | None = None):
         super().__init__()

@@ -52,7 +52,7 @@ _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
 
 
 class Buckets(dict):
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -11,8 +11,8 @@ Proposed pairs are confirmed on the full sets. Two members of a bucket that are
 both not linked to its centre can still be linked to each other; ``_unstarred``
 finds all such pairs exactly, by the shingles in which they differ from the
 centre. So no link is lost because a star's centre was not linked; only a pair
-that shares none of the bands is (at the threshold itself about 1 in 700
-million at 0.85 and 8 in a million at 0.8, see ``miss_probability``).
+that shares none of the bands is (at the threshold itself about 1 in 4 million
+at 0.85 and 1 in 7000 at 0.8, see ``miss_probability``).
 
 Texts with equal sets are one node from the start; copies are never paired.
 
@@ -39,9 +39,9 @@ from loanlens.llm.components import components
 SHINGLE = 5
 PERCENT = 85                    # linked from this Jaccard similarity, in hundredths
 NEAR_PERCENT = 80               # the same in the pipeline
-BANDS, ROWS = 64, 8
+BANDS, ROWS = 48, 8
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-PIECE = 2000                    # documents signed at a time
+PIECE = 1000                    # documents signed at a time
 
 
 def miss_probability(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -196,17 +196,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
 
-    banded = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = materialized(banded.join(sizes, "bucket"))
+    placed = materialized(banded.join(sizes.hint("merge"), "bucket"))
     # the member that meets most others: the text that the others are copies of
     score = placed.groupBy("node").agg(F.sum("size").alias("score"))
-    members = materialized(placed.select("bucket", "node", "n").join(score, "node"))
+    members = materialized(placed.select("bucket", "node").join(score, "node").join(nodes.select("node", "n"), "node"))
     chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "node", "n")).alias("c")).select(
         "bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
     chosen = materialized(chosen)
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialized(source.join(candidates, "doc_id", "left_semi").select("doc_id", "text")
+    # by a shuffle at any size: the number of candidates grows with the documents
+    sets = materialized(source.join(candidates.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
                         .mapInArrow(_full_sets, "node long, shingles array<long>"))
 
     families = materialized(members.join(chosen, "bucket").where("node != centre").select("centre", "m", "node", "n").distinct())
@@ -237,7 +238,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
     row = F.struct(*docs.columns).alias("__row")
     turn = F.row_number().over(Window.partitionBy("__id").orderBy(F.col("__row.text").asc_nulls_last()))
-    named = (docs.select(F.col("doc_id").alias("__id"), row).join(kept, F.col("__id") == F.col("__kept"), "left_semi")
+    named = (docs.select(F.col("doc_id").alias("__id"), row).join(kept.hint("merge"), F.col("__id") == F.col("__kept"), "left_semi")
              .withColumn("__turn", turn).where("__turn = 1").select("__row.*"))
     return named.union(docs.where("doc_id IS NULL"))
 
