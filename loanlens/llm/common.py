@@ -18,10 +18,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
+#: Rows of a narrow table that one task reads.
+TASK_ROWS = 50_000
+
+
+def materialized(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut.
+
+    A ``narrow`` table (a few numbers a row) is read by a task for every
+    TASK_ROWS of its rows, not by one for each partition that made it.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.coalesce(out.count() // TASK_ROWS + 1) if narrow else out
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -57,7 +66,7 @@ def ids_of(column: pa.ChunkedArray) -> np.ndarray:
 class WordHashes(dict):
     """bytes -> 64-bit hash of a word; emptied when it has grown large."""
 
-    LIMIT = 250_000
+    LIMIT = 60_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -36,10 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     and a join side that Spark can split.
     """
     x, y = edges.columns
-    edges = materialized(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("b < a").distinct())
+    edges = materialized(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("b < a").distinct(), narrow=True)
     before = _state(edges)
     while before[0]:
-        edges = materialized(_small_star(_large_star(edges)))
+        edges = materialized(_small_star(_large_star(edges)), narrow=True)
         now = _state(edges)
         if now == before:
             break

@@ -169,13 +169,16 @@ def _unstarred(families: DataFrame, links: DataFrame, label: DataFrame, sets: Da
     tokens = materialized(
         known.join(sets.select("node", F.col("shingles").alias("sn")), "node")
         .join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("sc")), "centre")
-        .select(*member[:-1], apart.alias("apart")).select(*member[:-1], F.size("apart").alias("d"), F.explode("apart").alias("token")))
+        .select(*member[:-1], apart.alias("apart")).select(*member[:-1], F.size("apart").alias("d"), F.explode("apart").alias("token")), narrow=True)
     often = tokens.groupBy("centre", "token").agg(F.count("*").alias("often")).where("often > 1")
     shared = tokens.join(often, ["centre", "token"]).groupBy(*member).agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("s"))
     least = F.greatest(F.ceil((F.col("d") - k * (F.col("n") - F.col("m"))) / 2 - 1e-9), F.lit(1)).cast("int")
     shared = shared.select(*member, F.col("s.token").alias("s"), least.alias("c"))
     near = shared.where("near").groupBy("centre", "m", "n", "near", "component", "d", "s", "c").agg(F.min("node").alias("node"))
-    rows = materialized(near.unionByName(shared.where("NOT near")).where("near = false OR size(s) >= c")
+    # a member shares at least |D| - k (|x| + |y|) with any partner, whose size the threshold bounds
+    most = k * (1 + 100 / percent)
+    far = shared.where("NOT near").where(F.size("s") >= F.col("d") - most * F.col("n") - 1e-9)
+    rows = materialized(near.where("size(s) >= c").unionByName(far)
                         .select("centre", "node", "n", "near", "component", "d", "s", "c", F.posexplode("s").alias("at", "token"))
                         .withColumn("short", F.col("at") <= F.size("s") - F.col("c")))
     a = rows.where("short").select("centre", "token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "near", "component", "d", "s")))
@@ -198,28 +201,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = materialized(banded.join(sizes.hint("merge"), "bucket"))
+    placed = materialized(banded.join(sizes.hint("merge"), "bucket"), narrow=True)
     # the member that meets most others: the text that the others are copies of
     score = placed.groupBy("node").agg(F.sum("size").alias("score"))
-    members = materialized(placed.select("bucket", "node").join(score, "node").join(nodes.select("node", "n"), "node"))
+    members = materialized(placed.select("bucket", "node").join(score, "node").join(nodes.select("node", "n"), "node"), narrow=True)
     chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("score"), "node", "n")).alias("c")).select(
         "bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
-    chosen = materialized(chosen)
+    chosen = materialized(chosen, narrow=True)
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     # by a shuffle at any size: the number of candidates grows with the documents
     sets = materialized(source.join(candidates.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
                         .mapInArrow(_full_sets, "node long, shingles array<long>"))
 
-    families = materialized(members.join(chosen, "bucket").where("node != centre").select("centre", "m", "node", "n").distinct())
+    families = materialized(members.join(chosen, "bucket").where("node != centre").select("centre", "m", "node", "n").distinct(), narrow=True)
     pairs = families.where(_sized(percent, "n", "m")).select(F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y"))
     # one id with several texts is one document
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b").distinct()
     own = named.join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("doc_id", "node").distinct()
     several = own.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("z")).where("x < z")
     links = materialized(_linked(pairs, sets, percent).union(
-        own.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("node").alias("y")).where("x < y")))
+        own.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("node").alias("y")).where("x < y")), narrow=True)
     label = components(links)
-    rest = materialized(_unstarred(families, links, label, sets, percent))
+    rest = materialized(_unstarred(families, links, label, sets, percent), narrow=True)
     if not rest.isEmpty():
         label = components(label.select(F.col("node").alias("x"), F.col("component").alias("y")).union(rest))
     of_set = nodes.select("set_a", "set_b", "node").join(label, "node", "left").select(
