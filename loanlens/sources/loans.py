@@ -227,16 +227,36 @@ def source_state(spark: SparkSession, sf_dir: str) -> str:
 
 def stored_loans(spark: SparkSession, path: str, sf_dir: str) -> DataFrame:
     """A stored copy, after a check that it was built from ``sf_dir`` as it is now."""
-    built = spark.read.json(_record_path(path)).first()
-    if built is None or built.source != sf_dir:
+    source, state = _record(spark, path)
+    if source != sf_dir:
         raise ValueError(f"{path} was not built from {sf_dir}")
-    if built.state != source_state(spark, sf_dir):
+    if state != source_state(spark, sf_dir):
         raise ValueError(f"the tables in {sf_dir} have changed since {path} was stored; store it again")
     return spark.read.parquet(path)
 
 
-def _record_path(path: str) -> str:
-    return path.rstrip("/") + "_source"
+def _record_file(spark: SparkSession, path: str):
+    """(file system, path) of the record beside a stored copy: source and its state, a line each."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "_source")
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()), file
+
+
+def _record(spark: SparkSession, path: str) -> list[str]:
+    fs, file = _record_file(spark, path)
+    if not fs.exists(file):
+        raise ValueError(f"{path} has no record of its source; store it with materialize_loans")
+    stream = fs.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def _write_record(spark: SparkSession, path: str, source: str, state: str) -> None:
+    fs, file = _record_file(spark, path)
+    stream = fs.create(file, True)
+    stream.write(bytearray(f"{source}\n{state}\n", "utf-8"))
+    stream.close()
 
 
 def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
@@ -258,7 +278,7 @@ def materialize_loans(spark: SparkSession, sf_dir: str, path: str | None = None)
         path = f"{checkpoint_dir(spark)}/loan_table/{tag}"
     state = source_state(spark, sf_dir)
     write_loans(derive_loans(spark, sf_dir), path)
-    spark.createDataFrame([(sf_dir, state)], "source string, state string").coalesce(1).write.mode("overwrite").json(_record_path(path))
+    _write_record(spark, path, sf_dir, state)
     spark.conf.set(LOANS_PATH_CONF, path)
     spark.conf.set(LOANS_SOURCE_CONF, sf_dir)
     return path
