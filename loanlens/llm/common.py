@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,6 +60,17 @@ def arrow_binary(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nda
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batch: pa.RecordBatch, column: int, rows: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``rows`` rows at most and of about ``most`` bytes of a text column, so that long texts do not add up."""
+    ends = arrow_binary(batch.column(column))[1]
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + rows, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1, batch.num_rows)
+        hi = max(hi, lo + 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def ids_of(column: pa.ChunkedArray) -> np.ndarray:
     """doc_id as int64, null as NULL_ID."""
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy().astype(np.int64)

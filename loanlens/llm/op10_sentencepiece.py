@@ -43,13 +43,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from loanlens.llm.common import read_table
+from loanlens.llm.common import pieces, read_table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 8.0
 FALLBACK_COST = 1000.0          # per byte: only where no piece covers a character
-CACHED = 300_000                # paths kept by a worker
+CACHED = 150_000                # paths kept by a worker
 CACHED_LENGTH = 48
 PIECE_ROWS = 1000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -171,8 +171,7 @@ def _encode(model, check: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(model.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, PIECE_ROWS):
-                batch = whole.slice(lo, PIECE_ROWS)
+            for batch in pieces(whole, 1, PIECE_ROWS):
                 texts = batch.column(1).to_pylist()
                 rows = [None if t is None else fst.encode(t) for t in texts]
                 cols, names = [batch.column(0), _lists(rows)], ["row", "ids"]

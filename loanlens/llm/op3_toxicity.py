@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import arrow_binary, read_table
+from loanlens.llm.common import arrow_binary, pieces, read_table
 from loanlens.llm.op4_quality import held_out
 
 CATEGORIES = ("abusive", "toxic", "severe")
@@ -230,8 +230,7 @@ def _score(place, chain) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(place.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, PIECE_ROWS):
-                batch = whole.slice(lo, PIECE_ROWS)
+            for batch in pieces(whole, 1, PIECE_ROWS):
                 p = predict(chain.value, Rows.of([_counts(t, features) for t in _texts(batch)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, j]) for j in range(len(CATEGORIES)))],
                                                  names=["doc_id", *(f"p_{c}" for c in CATEGORIES)])

@@ -37,10 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import arrow_binary, mix, read_table
+from loanlens.llm.common import arrow_binary, mix, pieces, read_table
 
 BUCKETS, DIM, SIGNS, REACH = 1 << 14, 32, 2, 2
 FEATURES = 3 * DIM
+CHUNK = 1 << 16                     # tokens whose vectors are held at a time
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 MAX_TRAIN = 20_000
 CALIBRATION_SHARE = 5               # one in so many training documents sets the temperature
@@ -82,8 +83,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets, total, count = Buckets(), np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, np.int64)
     at, sign = index_vectors()
     for whole in batches:
-        for lo in range(0, whole.num_rows, PIECE_ROWS):
-            ids, size = _tokens(whole.slice(lo, PIECE_ROWS), buckets)
+        for batch in pieces(whole, 0, PIECE_ROWS):
+            ids, size = _tokens(batch, buckets)
             doc = np.repeat(np.arange(len(size)), size)
             count += np.bincount(ids, minlength=BUCKETS)
             for gap in range(1, REACH + 1):
@@ -114,20 +115,40 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return table.astype(np.float32)
 
 
+def _chunks(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Token ranges of whole texts, CHUNK tokens at most; a longer text is cut from its own start, so its sums
+    do not depend on its neighbours."""
+    lo = at = 0
+    for n in size.tolist():
+        if at + n - lo > CHUNK:
+            if at > lo:
+                yield lo, at
+            lo = at
+            while at + n - lo > CHUNK:
+                yield lo, lo + CHUNK
+                lo += CHUNK
+        at += n
+        if n > CHUNK and at > lo:
+            yield lo, at
+            lo = at
+    if at > lo:
+        yield lo, at
+
+
 def pooled(ids: np.ndarray, size: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Mean and spread of the word vectors of each document, and the mean product of neighbours."""
-    out = np.zeros((len(size), FEATURES))
-    some = np.flatnonzero(size)
-    if len(some):
-        v = table[ids]
-        at = (np.cumsum(size) - size)[some]
-        n = size[some][:, None]
-        mean = np.add.reduceat(v, at, axis=0) / n
-        out[some, :DIM] = mean
-        out[some, DIM:2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0) / n - mean ** 2, 0))
-        near = np.concatenate([v[:-1] * v[1:], np.zeros((1, DIM), v.dtype)])
-        near[np.cumsum(size)[some] - 1] = 0            # a text's last word has no neighbour behind it
-        out[some, 2 * DIM:] = np.add.reduceat(near, at, axis=0) / n
+    total = np.zeros((len(size), FEATURES))
+    doc = np.repeat(np.arange(len(size)), size)
+    for lo, hi in _chunks(size):
+        v, own = table[ids[lo:hi + 1]], doc[lo:hi + 1]
+        near = np.zeros((hi - lo, DIM), v.dtype)
+        with_next = len(v) - 1                        # a text's last word has no neighbour behind it
+        near[:with_next] = v[:-1][:hi - lo] * v[1:] * (own[1:] == own[:-1])[:, None]
+        v, own = v[:hi - lo], own[:hi - lo]
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        total[own[at]] += np.concatenate([np.add.reduceat(x, at, axis=0) for x in (v, v * v, near)], axis=1)
+    out = total / np.maximum(size, 1)[:, None]
+    out[:, DIM:2 * DIM] = np.sqrt(np.maximum(out[:, DIM:2 * DIM] - out[:, :DIM] ** 2, 0))
     return out
 
 
@@ -189,8 +210,7 @@ def _pool(table) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for whole in batches:
-            for lo in range(0, whole.num_rows, PIECE_ROWS):
-                batch = whole.slice(lo, PIECE_ROWS)
+            for batch in pieces(whole, 1, PIECE_ROWS):
                 x = pooled(*_tokens(batch, buckets), table.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
     return run
@@ -200,8 +220,7 @@ def _score(table, net) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for whole in batches:
-            for lo in range(0, whole.num_rows, PIECE_ROWS):
-                batch = whole.slice(lo, PIECE_ROWS)
+            for batch in pieces(whole, 1, PIECE_ROWS):
                 score = net.value.score(pooled(*_tokens(batch, buckets), table.value))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["row", "score"])
     return run

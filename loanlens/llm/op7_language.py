@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import materialized, read_table
+from loanlens.llm.common import materialized, pieces, read_table
 
 MAX_LANGUAGES = 256
 GRAMS = 1 << 14
@@ -81,8 +81,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of the partition by language."""
     total: dict[str, np.ndarray] = {}
     for whole in batches:
-        for lo in range(0, whole.num_rows, PIECE_ROWS):
-            batch = whole.slice(lo, PIECE_ROWS)
+        for batch in pieces(whole, 1, PIECE_ROWS):
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
@@ -114,8 +113,7 @@ def _read(model) -> Callable:
         languages, logp = model.value
         known = set(languages)
         for whole in batches:
-            for lo in range(0, whole.num_rows, PIECE_ROWS):
-                batch = whole.slice(lo, PIECE_ROWS)
+            for batch in pieces(whole, 2, PIECE_ROWS):
                 pages = batch.column(2).to_pylist()
                 bucket, row = grams([visible_text(p or "") for p in pages])
                 like = np.zeros((len(pages), len(languages)))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import WordHashes, arrow_binary, gram_hashes, materialized, mix, read_table
+from loanlens.llm.common import WordHashes, arrow_binary, gram_hashes, materialized, mix, pieces, read_table
 from loanlens.llm.components import components
 
 SHINGLE = 5
@@ -101,8 +101,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for whole in batches:
-        for lo in range(0, whole.num_rows, PIECE):
-            batch = whole.slice(lo, PIECE)
+        for batch in pieces(whole, 1, PIECE):
             sets = [shingles(t, hashes) for t in _texts(batch)]
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = np.zeros((len(sets), BANDS), np.uint64)
@@ -120,8 +119,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for whole in batches:
-        for lo in range(0, whole.num_rows, PIECE):
-            batch = whole.slice(lo, PIECE)
+        for batch in pieces(whole, 1, PIECE):
             sets = [shingles(t, hashes) for t in _texts(batch)]
             ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
