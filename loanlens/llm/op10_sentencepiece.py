@@ -49,7 +49,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 8.0
 FALLBACK_COST = 1000.0          # per byte: only where no piece covers a character
-CACHED = 150_000                # paths kept by a worker
+CACHED = 150_000                # paths in a generation; a worker keeps two
 CACHED_LENGTH = 48
 PIECE_ROWS = 1000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -101,23 +101,25 @@ class Transducer:
         for byte, i in enumerate(model.byte_ids):
             self.text_of[i] = bytes([byte])
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}     # the generation before, for paths still in use
 
     def shortest_path(self, text: str) -> tuple[int, ...]:
         """Ids on the cheapest path over ``text``; of equal ones the one whose last piece is longest."""
         n = len(text)
         best, back = [math.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
+        # the normaliser's arcs: a space reads as the piece symbol, the symbol itself as nothing that a piece has
+        read = text.replace(" ", SPACE) if SPACE not in text else ["" if c == SPACE else SPACE if c == " " else c for c in text]
         for a in range(n):
             node, cost = self.tree, best[a]
             for b in range(a, n):
-                c = text[b]
-                # the normaliser's arcs: a space reads as the piece symbol, the symbol itself as nothing that a piece has
-                node = None if c == SPACE else node.get(SPACE if c == " " else c)
+                node = node.get(read[b])
                 if node is None:
                     break
-                end = node.get(None)
-                if end is not None and cost + end[1] < best[b + 1]:
-                    best[b + 1], back[b + 1] = cost + end[1], (a, (end[0],))
+                if None in node:
+                    i, weight = node[None]
+                    if cost + weight < best[b + 1]:
+                        best[b + 1], back[b + 1] = cost + weight, (a, (i,))
             if back[a + 1] is None:
                 raw = text[a].encode("utf-8", "replace")
                 best[a + 1] = cost + FALLBACK_COST * len(raw)
@@ -138,10 +140,11 @@ class Transducer:
         for part in self._BETWEEN.findall(" " + text if self.model.dummy_prefix else text):
             ids = paths.get(part)
             if ids is None:
-                ids = self.shortest_path(part)
+                ids = self.older.get(part) or self.shortest_path(part)
                 if len(part) <= CACHED_LENGTH:
                     if len(paths) >= CACHED:
-                        paths.clear()
+                        self.older, self.paths = paths, {}
+                        paths = self.paths
                     paths[part] = ids
             out.extend(ids)
         return out
