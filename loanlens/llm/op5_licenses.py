@@ -7,8 +7,13 @@ ordered license rules: each rule is a sequence of identifiers, rules come from
 the most to the least specific, and a match consumes its identifiers, so a
 short rule does not report again what a longer one has explained.
 
-Every line is looked up by itself, and so is a known sentence over several
-lines (wrapped license texts, also in comments) that ends where a sentence ends.
+A colon, a semicolon or a blank line ends a sentence as a full stop does, but known
+sentences hold some of them (``free software: you can``, ``SPDX-License-Identifier: MIT``),
+so the look-up goes over them. It takes the text between full stops: a text on one
+line is looked up as a whole; in one of several parts (lines, or cut at a colon), a
+known sentence begins at any word and ends where a part ends (wrapped license
+texts, also in comments). Of known sentences that overlap, the first counts, and of
+those that begin alike the longest.
 
 All work is done in the row of a document: no shuffle, and tables of fixed size.
 
@@ -105,31 +110,37 @@ RULES = (
 #: Licenses that do not allow free commercial use of the text, or ask for more than a notice.
 RESTRICTED = ("GPL", "CC-BY-NC", "CC-BY-SA", "Proprietary")
 
-_SENTENCE_END, _LINE_END = "\x01", "\x02"
+# ends of a sentence, of a line, and of a sentence where a known one may go on
+_SENTENCE_END, _LINE_END, _PART_END = "\x01", "\x02", "\x03"
+_INNER = f"{_LINE_END}{_PART_END}"
+_KNOWN = (r"(?<![\p{L}\p{N}])(?:" + "|".join(s.replace(" ", f"[ {_INNER}]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+          + f")(?=[{_INNER}]|$)")
 
 
 def sentences_of(text: Column) -> Column:
-    """The sentences in text order, normalised; their lines are still apart."""
-    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[.!?;:]+(?=\s|$)|\n\s*\n", _SENTENCE_END)
-    marked = F.regexp_replace(F.regexp_replace(marked, r"[\r\n]+", _LINE_END), rf"[^\p{{L}}\p{{N}}{_SENTENCE_END}{_LINE_END}]+", " ")
+    """The text between full stops, in order, normalised; its lines and parts are still apart."""
+    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<![.!?;:])[;:]*+[.!?][.!?;:]*+(?=\s|$)", _SENTENCE_END)
+    marked = F.regexp_replace(marked, r"(?<![.!?;:])[;:]++(?=\s|$)|\n\s*\n", _PART_END)
+    marked = F.regexp_replace(F.regexp_replace(marked, r"[\r\n]+", _LINE_END), rf"[^\p{{L}}\p{{N}}{_SENTENCE_END}{_INNER}]+", " ")
     marked = F.regexp_replace(marked, f" *{_LINE_END}[ {_LINE_END}]*", _LINE_END)
-    edge = f"[ {_LINE_END}]*"
+    marked = F.regexp_replace(marked, f"[ {_LINE_END}]?{_PART_END}[ {_INNER}]*", _PART_END)
+    edge = f"[ {_INNER}]*"
     parts = F.split(marked, f"{edge}{_SENTENCE_END}{edge}")
     clean = F.transform(parts, lambda s: F.regexp_replace(s, f"^{edge}|{edge}$", ""))
     return F.filter(clean, lambda s: s != "")
 
 
+def n_parts(sentence: Column) -> Column:
+    """Sentences in the text between full stops, cut also at colons, semicolons and blank lines."""
+    return F.length(sentence) - F.length(F.translate(sentence, _PART_END, "")) + 1
+
+
 def known_ids(sentence: Column) -> Column:
-    """Identifiers in a sentence: of lines by equality, and of a known sentence over several lines that ends where it ends."""
+    """Identifiers in the text between full stops: of one line by equality, of several parts at the end of each."""
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    longest_first = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(s).alias("text"))
-                              for i, s in sorted(SENTENCES.items(), key=lambda x: -len(x[1]))))
-    lines = F.split(sentence, _LINE_END)
-    joined, last = F.translate(sentence, _LINE_END, " "), F.substring_index(sentence, _LINE_END, -1)
-    over = F.get(F.filter(longest_first, lambda k: (F.length(k["text"]) > F.length(last)) & F.endswith(
-        F.concat(F.lit(" "), joined), F.concat(F.lit(" "), k["text"]))), F.lit(0))["id"]
-    return F.when(F.instr(sentence, _LINE_END) > 0, F.array_append(F.transform(lines, lambda s: F.try_element_at(known, s)), over)).otherwise(
-        F.array(F.try_element_at(known, sentence)))
+    found = F.regexp_extract_all(sentence, F.lit(_KNOWN), F.lit(0))
+    over = F.transform(found, lambda s: F.element_at(known, F.translate(s, _INNER, "  ")))
+    return F.when(sentence.rlike(f"[{_INNER}]"), over).otherwise(F.array(F.try_element_at(known, sentence)))
 
 
 def _literal_rules() -> Column:
@@ -139,7 +150,7 @@ def _literal_rules() -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, unmatched, restricted."""
     out = docs.select("doc_id", sentences_of(F.col("text")).alias("sentences"))
-    out = out.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.filter(
+    out = out.select("doc_id", F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + n_parts(s)).alias("n_sentences"), F.filter(
         F.flatten(F.transform("sentences", known_ids)), lambda i: i.isNotNull()).alias("sentence_ids"))
     # rules consume identifiers from the left; what is consumed leaves a mark, so its neighbours do not join
     start = F.struct(F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")).alias("rest"),

@@ -110,6 +110,50 @@ def test_rules_take_the_most_specific_first_and_consume(spark):
     assert rows[5].licenses == ["GPL-3.0"] and rows[5].restricted
 
 
+APACHE_HEADER = """Copyright 2024 Some Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL_HEADER = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def commented(text):
+    return "".join(f"# {line}".rstrip() + "\n" for line in text.splitlines())
+
+
+def test_published_headers_are_found_verbatim(spark):
+    gpl2 = GPL_HEADER.replace("software: you", "software; you").replace("version 3", "version 2")
+    expected = {APACHE_HEADER: "Apache-2.0 (full notice)", commented(APACHE_HEADER): "Apache-2.0 (full notice)",
+                GPL_HEADER: "GPL-3.0-or-later (full notice)", commented(GPL_HEADER): "GPL-3.0-or-later (full notice)",
+                gpl2: "GPL-2.0-or-later (full notice)", GPL_HEADER.replace("software: ", "software:\n    "): "GPL-3.0-or-later (full notice)",
+                "// SPDX-License-Identifier: MIT\nint x;\n": "MIT", "# SPDX-License-Identifier: Apache-2.0\nimport os\n": "Apache-2.0",
+                "/* SPDX-License-Identifier: GPL-3.0-only */": "GPL-3.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause"}
+    rows = {r.doc_id: r for r in op5_licenses.scanned(spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")).collect()}
+    for i, name in enumerate(expected.values()):
+        assert (rows[i].licenses, rows[i].unmatched, rows[i].restricted) == ([name], [], name.startswith("GPL"))
+    other = spark.createDataFrame([(1, "SPDX-License-Identifier: MIT-0\n\nx: y; z. a:\nb")], "doc_id long, text string")
+    assert op5_licenses.scanned(other).select("licenses", "n_sentences").first() == ([], 7)
+
+
 # ---------------------------------------------------------------- op6, op8
 
 @pytest.mark.parametrize("seed", range(8))
