@@ -9,11 +9,10 @@ short rule does not report again what a longer one has explained.
 
 A colon, a semicolon or a blank line ends a sentence as a full stop does, but known
 sentences hold some of them (``free software: you can``, ``SPDX-License-Identifier: MIT``),
-so the look-up goes over them. It takes the text between full stops: a text on one
-line is looked up as a whole; in one of several parts (lines, or cut at a colon), a
-known sentence begins at any word and ends where a part ends (wrapped license
-texts, also in comments). Of known sentences that overlap, the first counts, and of
-those that begin alike the longest.
+so the look-up goes over them. In the text between full stops a known sentence
+begins at any word and ends where a line or part ends (wrapped license texts, also
+in comments, and texts with words before them). Of known sentences that overlap,
+the first counts, and of those that begin alike the longest.
 
 All work is done in the row of a document: no shuffle, and tables of fixed size.
 
@@ -136,11 +135,10 @@ def n_parts(sentence: Column) -> Column:
 
 
 def known_ids(sentence: Column) -> Column:
-    """Identifiers in the text between full stops: of one line by equality, of several parts at the end of each."""
+    """Identifiers in the text between full stops, of sentences that end where a line or part of it ends."""
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
     found = F.regexp_extract_all(sentence, F.lit(_KNOWN), F.lit(0))
-    over = F.transform(found, lambda s: F.element_at(known, F.translate(s, _INNER, "  ")))
-    return F.when(sentence.rlike(f"[{_INNER}]"), over).otherwise(F.array(F.try_element_at(known, sentence)))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, _INNER, "  ")))
 
 
 def _literal_rules() -> Column:
@@ -150,8 +148,8 @@ def _literal_rules() -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, unmatched, restricted."""
     out = docs.select("doc_id", sentences_of(F.col("text")).alias("sentences"))
-    out = out.select("doc_id", F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + n_parts(s)).alias("n_sentences"), F.filter(
-        F.flatten(F.transform("sentences", known_ids)), lambda i: i.isNotNull()).alias("sentence_ids"))
+    out = out.select("doc_id", F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + n_parts(s)).alias("n_sentences"), F.flatten(
+        F.transform("sentences", known_ids)).alias("sentence_ids"))
     # rules consume identifiers from the left; what is consumed leaves a mark, so its neighbours do not join
     start = F.struct(F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")).alias("rest"),
                      F.array().cast("array<string>").alias("licenses"))

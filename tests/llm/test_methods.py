@@ -154,6 +154,16 @@ def test_published_headers_are_found_verbatim(spark):
     assert op5_licenses.scanned(other).select("licenses", "n_sentences").first() == ([], 7)
 
 
+def test_known_sentences_end_at_any_line(spark):
+    expected = {"Copyright 2024 Acme, licensed under the MIT License.": ["MIT"],
+                "Copyright 2024 Acme, licensed\nunder the MIT License\nint main": ["MIT"],
+                "This work is licensed under the GNU General\nPublic License, version 3\nimport os": ["GPL-3.0"],
+                "We like the MIT License, all of it": [], "relicensed under the mit license": [], "licensed under the MIT License here": []}
+    rows = {r.doc_id: r.licenses for r in op5_licenses.scanned(
+        spark.createDataFrame(list(enumerate(expected)), "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(len(expected))] == list(expected.values())
+
+
 # ---------------------------------------------------------------- op6, op8
 
 @pytest.mark.parametrize("seed", range(8))
