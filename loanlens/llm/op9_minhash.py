@@ -11,8 +11,8 @@ Proposed pairs are confirmed on the full sets. Two members of a bucket that are
 both not linked to its centre can still be linked to each other; ``_unstarred``
 finds all such pairs exactly, by the shingles in which they differ from the
 centre. So no link is lost because a star's centre was not linked; only a pair
-that shares none of the bands is (at the threshold itself about 1 in 4 million
-at 0.85 and 1 in 7000 at 0.8, see ``miss_probability``).
+that shares none of the bands is (at the threshold itself about 1 in 700
+million at 0.85 and 8 in a million at 0.8, see ``miss_probability``).
 
 Texts with equal sets are one node from the start; copies are never paired.
 
@@ -39,7 +39,7 @@ from loanlens.llm.components import components
 SHINGLE = 5
 PERCENT = 85                    # linked from this Jaccard similarity, in hundredths
 NEAR_PERCENT = 80               # the same in the pipeline
-BANDS, ROWS = 48, 8
+BANDS, ROWS = 64, 8
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 PIECE = 1000                    # documents signed at a time
 

@@ -285,6 +285,11 @@ def test_pairs_beside_the_star_are_complete(spark, seed):
     assert touch(whole) == touch(found)
 
 
+def test_linked_pairs_at_the_thresholds_share_a_band():
+    assert op9_minhash.miss_probability(op9_minhash.NEAR_PERCENT / 100) < 1e-5
+    assert op9_minhash.miss_probability(op9_minhash.PERCENT / 100) < 2e-9
+
+
 def test_densified_signatures_estimate_the_similarity():
     rng = np.random.default_rng(3)
     for n in (4, 30, 900):
