@@ -10,8 +10,11 @@ different bytes, or standing at the edge of a context, where the byte before
 belongs to another anchor. A group that is not left-diverse has the same
 occurrences as its extension to the left, which is visited too.
 
-A repeat longer than a context is reported as overlapping groups, one for each
-anchor on it; their union is the whole repeat.
+A repeat longer than a context (80 bytes at most) is found as overlapping groups,
+one for each anchor on it; their union is the whole repeat. ``maximal_repeats``
+joins those that overlap and have the same occurrences; a long repeat stays in
+parts where a part of more than one context also stands elsewhere without the rest.
+It reports repeats within one document too; the removal, by documents, needs neither.
 
 Defined cases: null text is empty; empty texts and texts below the length have
 no repeats; rows with a null ``doc_id`` count as one document after all
@@ -23,11 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loanlens.llm import passages
-from loanlens.llm.common import read_table
+from loanlens.llm.common import materialized, read_table
 
 MIN_BYTES = 50
 GRAM = 20
@@ -106,16 +109,43 @@ def repeat_spans(shard: passages.Shard):
 
 
 SPEC = passages.Spec(unit="byte", length=MIN_BYTES, gram=GRAM, by_start=False)
+#: For the repeats themselves, also within one document.
+WITHIN = passages.Spec(unit="byte", length=MIN_BYTES, gram=GRAM, by_start=True)
 
 
 def _find(docs: DataFrame, output: str, keep_row: bool = False) -> DataFrame:
-    return passages.find(docs, SPEC, repeat_spans, output=output, block_bytes=BLOCK_BYTES, shard_windows=SHARD_WINDOWS,
+    return passages.find(docs, WITHIN if output == "repeats" else SPEC, repeat_spans, output=output, block_bytes=BLOCK_BYTES, shard_windows=SHARD_WINDOWS,
                          keep_row=keep_row)
 
 
+def joined(rows: DataFrame) -> DataFrame:
+    """Overlapping groups with the same occurrences, moved by one distance, as one group."""
+    group = ["repeat_id", "length"]
+    first = rows.groupBy(*group).agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count("*").alias("n"))
+    moved = F.col("start") - F.col("first.start")
+    # equal for groups that are the same places, moved: their first place's document, their number, hashes of all
+    sets = rows.join(first, group).groupBy(*group, "first", "n").agg(
+        F.bit_xor(F.xxhash64("doc_id", "row", moved)).alias("set_a"), F.bit_xor(F.xxhash64(moved, "row", "doc_id", F.lit(1))).alias("set_b"))
+    sets = sets.select(*group, "n", "set_a", "set_b", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"),
+                       F.col("first.start").alias("start"), (F.col("first.start") + F.col("length")).alias("stop"))
+    same = ["doc", "row", "n", "set_a", "set_b"]
+    order = Window.partitionBy(*same).orderBy("start", F.desc("stop"), "repeat_id")
+    reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chains = sets.withColumn("new", F.when(F.col("start") < reached, 0).otherwise(1)).withColumn(
+        "chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = chains.groupBy(*same, "chain").agg(
+        F.min(F.struct("start", (-F.col("length")).alias("shorter"), *group)).alias("head"), F.max("stop").alias("stop"),
+        F.array_sort(F.collect_list(F.struct("start", *group))).alias("parts"))
+    parts = F.transform("parts", lambda p: F.struct((p["start"] - F.col("head.start")).alias("at"), p["repeat_id"].alias("id")))
+    whole = whole.select(F.col("head.repeat_id").alias("repeat_id"), F.col("head.length").alias("length"),
+                         F.when(F.size("parts") > 1, F.xxhash64(parts)).otherwise(F.col("head.repeat_id")).alias("id"),
+                         (F.col("stop") - F.col("head.start")).alias("size"))
+    return rows.join(whole, group).select(F.col("id").alias("repeat_id"), "doc_id", "start", F.col("size").alias("length"))
+
+
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """Every occurrence of every repeat group: repeat_id, doc_id, start and length in bytes."""
-    return _find(docs, "repeats")
+    return joined(materialized(_find(docs, "repeats").distinct()))
 
 
 def removal_report(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -451,14 +452,17 @@ def _repeats(spec: Spec, n_buckets: int, n_shards: int) -> Callable:
         doc, pos, size, _, _, rid = _occurrences(
             spec, block, back.filter(pa.array(is_anchor)), back.filter(pa.array(~is_anchor)), n_buckets, n_shards)
         ids = block.table["__id"].combine_chunks()
-        return pa.table({"repeat_id": pa.array(rid.astype(np.int64), pa.int64()), "doc_id": ids.take(pa.array(doc)),
+        ends = zip(block.byte_off[:-1].tolist(), block.byte_off[1:].tolist())
+        rows = np.array([xxhash.xxh3_64_intdigest(block.raw[a:b].tobytes()) for a, b in ends], np.uint64).view(np.int64)
+        return pa.table({"repeat_id": pa.array(rid.view(np.int64), pa.int64()), "doc_id": ids.take(pa.array(doc)),
+                         "row": pa.array(rows[doc], pa.int64()),
                          "start": pa.array(pos - block.off[doc] if len(doc) else pos, pa.int64()), "length": pa.array(size, pa.int64())})
     return run
 
 
 def find(docs: DataFrame, spec: Spec, finder: Finder, *, output: str, block_bytes: int, shard_windows: int,
          keep_row: bool = False) -> DataFrame:
-    """``output`` "report": a row per document; "repeats": a row per occurrence of a repeat."""
+    """``output`` "report": a row per document; "repeats": a row per occurrence of a repeat, ``row`` hashes its text."""
     n = max(1, -(-text_bytes(docs) // block_bytes))
     n_buckets, n_shards = n, 2 * n
     cols = [F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)),
@@ -483,7 +487,7 @@ def find(docs: DataFrame, spec: Spec, finder: Finder, *, output: str, block_byte
                                                          "first_start", "repeat_id"))
     pair = blocks.groupBy("__block").cogroup(back.groupBy("__block"))
     if output == "repeats":
-        return pair.applyInArrow(_repeats(spec, n_buckets, n_shards), "repeat_id long, doc_id long, start long, length long")
+        return pair.applyInArrow(_repeats(spec, n_buckets, n_shards), "repeat_id long, doc_id long, row long, start long, length long")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_symbols", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
                            T.StructField("kept_sha256", T.StringType())])

@@ -189,6 +189,17 @@ def test_interval_groups_are_the_left_diverse_repeats(seed):
     assert found == expected
 
 
+def test_repeats_are_whole_and_found_within_one_document(spark):
+    rng = random.Random(8)
+    long, inner = prose(rng, 120), prose(rng, 60)
+    texts = {1: f"{prose(rng, 9)} # {long} # {prose(rng, 9)}", 2: f"{prose(rng, 8)} = {long} = {prose(rng, 7)}",
+             3: f"{prose(rng, 8)} < {inner} > {prose(rng, 9)} [ {inner} ]"}
+    found = {}
+    for r in op6_repeats.maximal_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        found.setdefault((r.repeat_id, texts[r.doc_id].encode()[r.start:r.start + r.length].decode()), []).append(r.doc_id)
+    assert sorted((t, sorted(d)) for (_, t), d in found.items()) == sorted([(f" {long} ", [1, 2]), (f" {inner} ", [3, 3])])
+
+
 def test_all_occurrences_of_a_repeat_are_reported(spark):
     rng = random.Random(2)
     passage = prose(rng, 30)
