@@ -74,3 +74,67 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coale
        least(doc_id, coalesce(m, doc_id)) = doc_id AS kept
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON node = doc_id
 """
+
+OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         doc_id > min(doc_id) OVER (PARTITION BY t) AS e
+  FROM docs),
+marked AS (
+  SELECT j.*, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic FROM judged j LEFT JOIN labels l USING (doc_id)),
+cells AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM marked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.l, q.l, r.l, s.l, t.l])) = 5),
+fates AS (
+  SELECT part, o, n, g, x, a, b, c, d, e, list_position(
+           [CASE o[i] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END FOR i IN range(1, 6)], true) AS gone_at
+  FROM cells, orders),
+steps AS (
+  SELECT part, o, s, o[s] AS f, n, g, x, coalesce(gone_at, 9) AS gone_at,
+         CASE o[s] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+         CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(d AS INT) + CAST(e AS INT) AS n_fails
+  FROM fates, range(1, 6) AS r(s)),
+sums AS (
+  SELECT part, o, s, f, sum(CASE WHEN gone_at > s THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone_at = s THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails AND gone_at < s THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN gone_at = s THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN gone_at = s THEN x ELSE 0 END) AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(s AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM sums
+"""
+
+OP13 = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM docs) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+triples AS (SELECT doc_id, i, x, lead(x, 1) OVER own AS y, lead(x, 2) OVER own AS z FROM words WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM triples WHERE z IS NOT NULL),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY doc_id),
+measures AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+bits AS (
+  SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 10 * n_symbols > n_words AS f2, word_chars < 3 * n_words AS f3,
+         word_chars > 10 * n_words AS f4, 10 * n_dup_lines > 3 * n_lines AS f5
+  FROM measures)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
+       CAST(f0 AS BIGINT) + 2 * CAST(f1 AS BIGINT) + 4 * CAST(f2 AS BIGINT) + 8 * CAST(f3 AS BIGINT) + 16 * CAST(f4 AS BIGINT)
+       + 32 * CAST(f5 AS BIGINT) AS failed,
+       f0 OR f1 AS base_failed, NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5) AS kept
+FROM bits
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.llm import (
     op1_decontaminate, op2_order_minhash, op3_toxicity, op4_quality, op5_licenses, op6_repeats, op8_automata, op9_minhash,
-    op10_sentencepiece, op7_language, oracles)
+    op10_sentencepiece, op12_filter_audit, op13_quality_rules, op7_language, oracles)
 
 _QUERIES = (
     op1_decontaminate.op1_decontamination,
@@ -21,6 +21,8 @@ _QUERIES = (
     op8_automata.op8_repeated_phrases,
     op9_minhash.op9_minhash,
     op10_sentencepiece.op10_sentencepiece,
+    op12_filter_audit.op12_filter_audit,
+    op13_quality_rules.op13_quality_rules,
 )
 
 
@@ -34,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_maximal_repeats": oracles.OP6,
         "op8_repeated_phrases": oracles.OP8,
         "op9_minhash": oracles.OP9,
+        "op12_filter_audit": oracles.OP12,
+        "op13_quality_rules": oracles.OP13,
     }
