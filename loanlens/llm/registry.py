@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loanlens.llm import (
     op1_decontaminate, op2_order_minhash, op3_toxicity, op4_quality, op5_licenses, op6_repeats, op8_automata, op9_minhash,
-    op10_sentencepiece, op12_filter_audit, op13_quality_rules, op7_language, oracles)
+    op10_sentencepiece, op11_alignment, op12_filter_audit, op13_quality_rules, op7_language, oracles)
 
 _QUERIES = (
     op1_decontaminate.op1_decontamination,
@@ -21,6 +21,7 @@ _QUERIES = (
     op8_automata.op8_repeated_phrases,
     op9_minhash.op9_minhash,
     op10_sentencepiece.op10_sentencepiece,
+    op11_alignment.op11_alignment,
     op12_filter_audit.op12_filter_audit,
     op13_quality_rules.op13_quality_rules,
 )

@@ -1,6 +1,8 @@
 """Plain restatements of the contracts, for small tables."""
 import hashlib
 import re
+from collections import Counter
+from itertools import accumulate, permutations
 
 LAST = 2 ** 63 - 1
 
@@ -90,6 +92,71 @@ def contaminated(rows, items, window=13):
     return out
 
 
+def aligned(texts, encode_a, bytes_a, encode_b, bytes_b):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text; the vocabularies' own libraries encode."""
+    found, counts = [], Counter()
+    for t in texts:
+        a, b, raw = (encode_a(" " + t), encode_b(t), (" " + t).encode()) if t else ((), (), b"")
+        if not t or b"".join(bytes_a[i] for i in a) != raw or b"".join(bytes_b[i] for i in b) != raw:
+            found.append(None)
+            continue
+        ends_a, ends_b = list(accumulate(len(bytes_a[i]) for i in a)), list(accumulate(len(bytes_b[i]) for i in b))
+        groups, links, i, j = [], [], 0, 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            x, y = ends_a.index(end, i) + 1, ends_b.index(end, j) + 1
+            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+            links.append((a[x - 1], b[y - 1]))
+            i, j = x, y
+        counts.update(links)
+        found.append((len(a), len(b), groups, links))
+    best = {}
+    for (_, y), n in counts.items():
+        best[y] = max(best.get(y, 0), n)
+    return [(0, 0, 0, 0, 0, 0, "") if x is None else (
+        x[0], x[1], len(x[2]), len(x[3]), sum(counts[p] == best[p[1]] for p in x[3]), sum(counts[p] for p in x[3]), sha(";".join(x[2]))) for x in found]
+
+
+def audit(rows, labels):
+    """rows: (doc_id, text, source); the five filters applied one after the other in all 120 orders."""
+    key = lambda d: LAST if d is None else d
+    good, toxic = ({d for d, q, t in labels if d is not None and x(q, t)} for x in (lambda q, t: q == 1, lambda q, t: t == 1))
+    first = {}
+    for d, t, _ in rows:
+        first[t or ""] = min(first.get(t or "", LAST), key(d))
+    docs = {}
+    for d, t, s in rows:
+        t = t or ""
+        w = [x for x in re.split("[\x20\x09-\x0D]+", t) if x]
+        bad = {"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t),
+               "D": bool(re.search("[#$%&*|]", t)), "E": key(d) > first[t]}
+        docs.setdefault(s or "", []).append((d, {f for f in bad if bad[f]}))
+    out = []
+    for part, own in docs.items():
+        steps = []
+        for order in permutations("ABCDE"):
+            left = own
+            for s, f in enumerate(order, 1):
+                gone = [(d, b) for d, b in left if f in b]
+                left = [(d, b) for d, b in left if f not in b]
+                steps.append((part, "".join(order), s, len(left), len(gone), sum(f in b for _, b in own) - len(gone),
+                              sum(b == {f} for _, b in own), sum(d in good for d, _ in gone), sum(d in toxic for d, _ in gone), f))
+        total = Counter()
+        for x in steps:
+            total[x[-1]] += x[4]
+        out += [(*x[:-1], total[x[-1]]) for x in steps]
+    return out
+
+
+def measures(t):
+    """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words"""
+    t = t or ""
+    w = [x for x in re.split("[\x20\x09-\x0D]+", t) if x]
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+    times = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if times[tuple(w[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), len(covered)
+
+
 def same(found, expected):
     key = lambda r: [(x is None, x) for x in r]
     assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
