@@ -1,6 +1,6 @@
 """Operator 10: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model's parts are compiled once per worker: the normaliser (a dummy space in
+The model's parts are compiled once per task: the normaliser (a dummy space in
 front, space to U+2581), the pieces as a prefix tree of arcs, and byte
 fallback (a path of byte pieces for every character). An input is composed with
 them lazily: its states are the positions in the text, its arcs the pieces that
@@ -33,7 +33,6 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -43,13 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from loanlens.llm.common import pieces, read_table
+from loanlens.llm.common import pieces, read_table, tidied
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 PIECE_COST = 8.0
 FALLBACK_COST = 1000.0          # per byte: only where no piece covers a character
-CACHED = 150_000                # paths in a generation; a worker keeps two
+CACHED = 150_000                # paths in a generation; a task keeps two
 CACHED_LENGTH = 48
 PIECE_ROWS = 1000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -157,12 +156,6 @@ class Transducer:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def compiled(model: Model) -> Transducer:
-    """One for all tasks of a worker, with the paths that they have found."""
-    return Transducer(model)
-
-
 def _lists(rows: list[list[int] | None]) -> pa.Array:
     ends = np.cumsum([0, *(len(r or ()) for r in rows)]).astype(np.int32)
     flat = np.fromiter((i for r in rows for i in r or ()), np.int32, int(ends[-1]))
@@ -172,7 +165,7 @@ def _lists(rows: list[list[int] | None]) -> pa.Array:
 
 def _encode(model, check: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = compiled(model.value)
+        fst = Transducer(model.value)
         for whole in batches:
             for batch in pieces(whole, 1, PIECE_ROWS):
                 texts = batch.column(1).to_pylist()
@@ -190,7 +183,7 @@ def _encode(model, check: bool) -> Callable:
 
 def _decode(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = compiled(model.value)
+        fst = Transducer(model.value)
         for batch in batches:
             texts = [None if ids is None else fst.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
@@ -206,7 +199,7 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model or load_model())
     src = _rows(docs, "text")
     schema = T.StructType([src.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done = src.mapInArrow(_encode(sent, False), schema)
+    done = src.mapInArrow(tidied(_encode(sent, False)), schema)
     return done.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "ids"), "ids")
 
 
@@ -215,7 +208,7 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(model or load_model())
     src = _rows(encoded, "ids")
     schema = T.StructType([src.schema["row"], T.StructField("text", T.StringType())])
-    done = src.mapInArrow(_decode(sent), schema)
+    done = src.mapInArrow(tidied(_decode(sent)), schema)
     return done.select(*(F.col("row")[c].alias(c) for c in encoded.columns if c != "text"), "text")
 
 
@@ -223,7 +216,7 @@ def encoding_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids, decoded_sha256, exact (decoding gives the text back)."""
     sent = docs.sparkSession.sparkContext.broadcast(model or load_model())
     return (docs.select("doc_id", "text")
-            .mapInArrow(_encode(sent, True), T.StructType([
+            .mapInArrow(tidied(_encode(sent, True)), T.StructType([
                 T.StructField("row", docs.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
                 T.StructField("n_chars", T.LongType()), T.StructField("decoded_sha256", T.StringType()),
                 T.StructField("exact", T.BooleanType())]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import arrow_binary, read_table, sha256_hex
+from loanlens.llm.common import arrow_binary, read_table, sha256_hex, tidied
 from loanlens.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -166,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     carried = F.struct(*docs.columns) if keep_row else F.struct("doc_id")
     rows = docs.select(carried.alias("__row"), F.col("text").cast("binary").alias("__text"), F.lit(None).cast(_FOUND).alias("__found"))
     for items in _blocks(benchmark, block_bytes):
-        rows = rows.mapInArrow(_scan(sc.broadcast(items), window), rows.schema)
+        rows = rows.mapInArrow(tidied(_scan(sc.broadcast(items), window)), rows.schema)
     n_hit = F.aggregate("__found.spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     out = rows.select(
         "__row", F.col("__row.doc_id").alias("doc_id"), F.col("__found.n_words").alias("n_words"), n_hit.alias("n_hit"),

@@ -19,8 +19,8 @@ six, which the time allows for both versions of all texts.
 Defined cases: a null text is empty; a text of fewer than three words has one
 k-mer of all of them (of none for an empty text); rows with one ``doc_id`` follow
 each other in text order; rows without ``doc_id`` come after all others, by a hash
-of their text; a single document is its own next; positions count modulo 2^24
-words; an empty table gives an empty result; other columns are ignored.
+of their text; a single document is its own next; a row holds fewer than 2^31 words,
+so positions are exact; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from loanlens.llm.common import materialized, read_table, sha256_hex
 
 K = 3
 TUPLES, PER_TUPLE = 32, 2
-POSITION_BITS = 24
+POSITION_BITS = 31              # a string has fewer than 2^31 words, so every position fits
 BLOCK_IDS = 1024
 RANGES = 64
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import arrow_binary, pieces, read_table
+from loanlens.llm.common import arrow_binary, pieces, read_table, tidied
 from loanlens.llm.op4_quality import held_out
 
 CATEGORIES = ("abusive", "toxic", "severe")
@@ -109,7 +109,7 @@ def select(known: DataFrame) -> Selection:
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (size.get(1, 0) - F.col("toxic") + 0.5)) - F.log(b / (size.get(0, 0) - F.col("clean") + 0.5))
     weight = F.abs(odds) / F.sqrt(1 / a + 1 / b)
-    rows = (known.mapInArrow(_document_counts, "feature long, clean long, toxic long").groupBy("feature")
+    rows = (known.mapInArrow(tidied(_document_counts), "feature long, clean long, toxic long").groupBy("feature")
             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3")
             .orderBy(weight.desc(), "feature").limit(SELECTED).collect())
     hold = np.array([r.clean + r.toxic for r in rows])
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Selection, list[Link]]:
     # at most MAX_TRAIN rows of 16 bytes, so they can be broadcast
     few = label.orderBy(F.xxhash64("__id"), "__id").limit(MAX_TRAIN)
     rows = (texts.join(F.broadcast(few), F.col("__doc") == F.col("__id")).select("label", "__text")
-            .mapInArrow(_vectors(sc.broadcast(chosen.place)), "label long, columns binary, counts binary").collect())
+            .mapInArrow(tidied(_vectors(sc.broadcast(chosen.place))), "label long, columns binary, counts binary").collect())
     rows = sorted((bytes(r["columns"]), bytes(r.counts), r.label) for r in rows)
     found = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(c, np.int32)) for i, c, _ in rows]
     toxic = np.array([y for *_, y in rows], np.float64)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import arrow_binary, mix, pieces, read_table
+from loanlens.llm.common import arrow_binary, mix, pieces, read_table, tidied
 
 BUCKETS, DIM, SIGNS, REACH = 1 << 14, 32, 2, 2
 FEATURES = 3 * DIM
@@ -46,7 +46,7 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 MAX_TRAIN = 20_000
 CALIBRATION_SHARE = 5               # one in so many training documents sets the temperature
 THRESHOLD = 0.7
-PIECE_ROWS = 500
+PIECE_ROWS, PIECE_BYTES = 500, 1 << 20
 SEED = 11
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
@@ -83,7 +83,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     buckets, total, count = Buckets(), np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, np.int64)
     at, sign = index_vectors()
     for whole in batches:
-        for batch in pieces(whole, 0, PIECE_ROWS):
+        for batch in pieces(whole, 0, PIECE_ROWS, PIECE_BYTES):
             ids, size = _tokens(batch, buckets)
             doc = np.repeat(np.arange(len(size)), size)
             count += np.bincount(ids, minlength=BUCKETS)
@@ -104,7 +104,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vector of each bucket, less the corpus mean; BUCKETS x DIM whatever the corpus."""
     dims = [f"v{j}" for j in range(DIM)]
     rows = (docs.select(F.col("text").cast("binary").alias("__text"))
-            .mapInArrow(_gather, "bucket long, n long, " + ", ".join(f"{d} long" for d in dims))
+            .mapInArrow(tidied(_gather), "bucket long, n long, " + ", ".join(f"{d} long" for d in dims))
             .groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(d).alias(d) for d in dims)).collect())
     table = np.zeros((BUCKETS, DIM))
     n = np.zeros(BUCKETS)
@@ -210,7 +210,7 @@ def _pool(table) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for whole in batches:
-            for batch in pieces(whole, 1, PIECE_ROWS):
+            for batch in pieces(whole, 1, PIECE_ROWS, PIECE_BYTES):
                 x = pooled(*_tokens(batch, buckets), table.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
     return run
@@ -220,7 +220,7 @@ def _score(table, net) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for whole in batches:
-            for batch in pieces(whole, 1, PIECE_ROWS):
+            for batch in pieces(whole, 1, PIECE_ROWS, PIECE_BYTES):
                 score = net.value.score(pooled(*_tokens(batch, buckets), table.value))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["row", "score"])
     return run
@@ -236,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     sent = docs.sparkSession.sparkContext.broadcast(table)
     known = (labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id")
              .agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).withColumnRenamed("doc_id", "__id"))
-    # at most MAX_TRAIN rows of 16 bytes, so they can be broadcast
-    rows = (docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("label", F.col("text").cast("binary").alias("__text"))
-            .mapInArrow(_pool(sent), "label double, x array<double>").collect())
+             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN))
+    # at most MAX_TRAIN rows of 16 bytes, so they can be broadcast; other columns of documents could clash
+    rows = (docs.select("doc_id", F.col("text").cast("binary").alias("__text")).join(F.broadcast(known), "doc_id").select("label", "__text")
+            .mapInArrow(tidied(_pool(sent)), "label double, x array<double>").collect())
     rows = sorted((tuple(r.x), r.label) for r in rows)
     return table, train(np.array([x for x, _ in rows]).reshape(-1, FEATURES), np.array([y for _, y in rows]))
 
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep_row: bool = False) -> DataFr
     table, net = fit(docs, labels)
     sc = docs.sparkSession.sparkContext
     src = docs.select(F.struct(*(docs.columns if keep_row else ["doc_id"])).alias("row"), F.col("text").cast("binary").alias("__text"))
-    out = src.mapInArrow(_score(sc.broadcast(table), sc.broadcast(net)),
+    out = src.mapInArrow(tidied(_score(sc.broadcast(table), sc.broadcast(net))),
                          T.StructType([src.schema["row"], T.StructField("score", T.DoubleType())]))
     cols = [F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id")).alias("held_out"), "score",
             (F.col("score") >= THRESHOLD).cast("int").alias("predicted")]

@@ -13,7 +13,9 @@ log P(l | page) = log P(text | l) / T + log P(declared | l) + log P(l | host) +
   is left out of its prior, so no evidence counts twice.
 
 Counts are grouped aggregates; hosts and suffixes are joined, not broadcast.
-Only tables whose size the languages bound (``MAX_LANGUAGES``) go to the driver.
+Only tables whose size the languages bound go to the driver: 64 KB of trigram
+weights a language, and counts of language pairs that occur. Any number of
+languages is taken; a task counts ``LANGUAGES_AT_ONCE`` before it sends them on.
 
 Defined cases: null or blank html has no text and no declaration, a null or
 malformed url no host and no suffix; evidence that a page lacks is left out, so a
@@ -36,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import materialized, pieces, read_table
+from loanlens.llm.common import materialized, pieces, read_table, tidied
 
-MAX_LANGUAGES = 256
+LANGUAGES_AT_ONCE = 64
 GRAMS = 1 << 14
 TEMPER = 3.0
 SMOOTH = 5.0                    # pages that a parent's share counts as
@@ -80,6 +82,13 @@ def address(url: str | None) -> tuple[str | None, str | None]:
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts of the partition by language."""
     total: dict[str, np.ndarray] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, n in total.items():
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(n[seen])],
+                                             names=["lang", "gram", "n"])
+        total.clear()
     for whole in batches:
         for batch in pieces(whole, 1, PIECE_ROWS):
             by: dict[str, list[bytes]] = {}
@@ -87,20 +96,16 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 total[lang] = total.get(lang, 0) + np.bincount(grams(texts)[0], minlength=GRAMS)
-    for lang, n in total.items():
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(n[seen])],
-                                         names=["lang", "gram", "n"])
+                if len(total) >= LANGUAGES_AT_ONCE:
+                    yield from sent()
+    yield from sent()
 
 
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log P(trigram | language)), from all documents."""
     src = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("binary").alias("text"))
-    languages = [r.lang for r in src.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages.sort()
-    rows = src.mapInArrow(_learn, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(r.lang for r in src.select("lang").distinct().collect())
+    rows = src.mapInArrow(tidied(_learn), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros((len(languages), GRAMS))
     if rows.num_rows:
         at = np.searchsorted(np.array(languages), np.array(rows["lang"].to_pylist()))
@@ -133,22 +138,24 @@ def _read(model) -> Callable:
     return run
 
 
-def _by(pages: DataFrame, key: str, languages: list[str]) -> DataFrame:
-    """Per value of ``key``: the number of pages in each language, by their text."""
-    counts = [F.sum(F.when(F.col("text_language") == x, 1).otherwise(0)) for x in languages]
-    return pages.where(F.col(key).isNotNull() & F.col("text_language").isNotNull()).groupBy(key).agg(F.array(*counts).alias(f"by_{key}"))
+def _by(pages: DataFrame, key: str) -> DataFrame:
+    """Per value of ``key``: the number of pages in each language that occurs there, by their text."""
+    counts = pages.where(F.col(key).isNotNull() & F.col("text_language").isNotNull()).groupBy(key, "text_language").count()
+    return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("text_language", "count"))).alias(f"by_{key}"))
 
 
 def _fuse(languages: list[str], overall: np.ndarray, trust: dict[str, np.ndarray]) -> Callable:
     number = {x: j for j, x in enumerate(languages)}
     root = (overall + 1) / (overall.sum() + len(languages))
 
-    def prior(own: int | None, *levels: list[int] | None) -> np.ndarray:
+    def prior(own: int | None, *levels: list[tuple[str, int]] | None) -> np.ndarray:
         """From the most general level to the host; each without the page itself."""
         p = root
         for counts in levels:
             if counts is not None:
-                n = np.array(counts, np.float64)
+                n = np.zeros(len(languages))
+                for language, pages in counts:
+                    n[number[language]] = pages
                 if own is not None:
                     n[own] -= 1
                 p = (n + SMOOTH * p) / (n.sum() + SMOOTH)
@@ -187,7 +194,7 @@ def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     if not languages:
         return read.select("page_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"),
                            "text_language", "declared", "host", "suffix")
-    # at most (MAX_LANGUAGES + 2) x (MAX_LANGUAGES + 1) rows
+    # of the pairs of languages, those that occur
     pairs = read.groupBy("declared", "text_language").count().collect()
     number = {x: j for j, x in enumerate(languages)}
     overall = np.zeros(len(languages))
@@ -200,7 +207,7 @@ def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     declared_pages = sum(table.values())
     share = {d: (n.sum() + 1) / (declared_pages.sum() + len(table)) for d, n in table.items()}
     trust = {d: (n + SMOOTH * share[d]) / (declared_pages + SMOOTH) for d, n in table.items()}
-    by_suffix, by_host = (materialized(_by(read, key, languages)) for key in ("suffix", "host"))
+    by_suffix, by_host = (materialized(_by(read, key)) for key in ("suffix", "host"))
     joined = read.join(by_suffix, "suffix", "left").join(by_host, "host", "left")
     return joined.select("page_id", "host", "suffix", "declared", "text_language", "likelihood", "by_suffix", "by_host").mapInArrow(
         _fuse(languages, overall, trust), _RESULT)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import WordHashes, arrow_binary, gram_hashes, materialized, mix, pieces, read_table
+from loanlens.llm.common import WordHashes, arrow_binary, gram_hashes, materialized, mix, pieces, read_table, tidied
 from loanlens.llm.components import components
 
 SHINGLE = 5
@@ -192,7 +192,7 @@ def _unstarred(families: DataFrame, links: DataFrame, label: DataFrame, sets: Da
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialized(source.mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    signed = materialized(source.mapInArrow(tidied(_sign), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     nodes = materialized(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     # by a shuffle at any size: the number of candidates grows with the documents
     sets = materialized(source.join(candidates.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-                        .mapInArrow(_full_sets, "node long, shingles array<long>"))
+                        .mapInArrow(tidied(_full_sets), "node long, shingles array<long>"))
 
     families = materialized(members.join(chosen, "bucket").where("node != centre").select("centre", "m", "node", "n").distinct(), narrow=True)
     pairs = families.where(_sized(percent, "n", "m")).select(F.least("centre", "node").alias("x"), F.greatest("centre", "node").alias("y"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import NULL_ID, WordHashes, arrow_binary, gram_hashes, ids_of, mix, text_bytes
+from loanlens.llm.common import NULL_ID, WordHashes, arrow_binary, gram_hashes, ids_of, mix, text_bytes, tidied_group, tidied_pair
 
 POS_BITS = 24
 SEGMENT = 1 << 20                 # window starts handled at a time
@@ -473,11 +473,11 @@ def find(docs: DataFrame, spec: Spec, finder: Finder, *, output: str, block_byte
     blocks = docs.select(*cols)
 
     anchors = blocks.groupBy("__block").applyInArrow(
-        _anchor_rows(spec, n_buckets), "bucket long, __block long, hashes binary, twice binary")
-    recurring = anchors.groupBy("bucket").applyInArrow(_recurring, "bucket long, __block long, hashes binary")
+        tidied_group(_anchor_rows(spec, n_buckets)), "bucket long, __block long, hashes binary, twice binary")
+    recurring = anchors.groupBy("bucket").applyInArrow(tidied_group(_recurring), "bucket long, __block long, hashes binary")
     contexts = blocks.groupBy("__block").cogroup(recurring.groupBy("__block")).applyInArrow(
-        _context_rows(spec, n_buckets, n_shards), _CONTEXT_SCHEMA)
-    answers = contexts.groupBy("shard").applyInArrow(_shard_answers(spec, finder, shard_windows, output == "repeats"), _ANSWER_SCHEMA)
+        tidied_pair(_context_rows(spec, n_buckets, n_shards)), _CONTEXT_SCHEMA)
+    answers = contexts.groupBy("shard").applyInArrow(tidied_group(_shard_answers(spec, finder, shard_windows, output == "repeats")), _ANSWER_SCHEMA)
 
     none = F.lit(None).cast("binary")
     back = recurring.select(F.lit(0).alias("kind"), "__block", "bucket", "hashes", F.lit(0).cast("long").alias("shard"),
@@ -487,10 +487,10 @@ def find(docs: DataFrame, spec: Spec, finder: Finder, *, output: str, block_byte
                                                          "first_start", "repeat_id"))
     pair = blocks.groupBy("__block").cogroup(back.groupBy("__block"))
     if output == "repeats":
-        return pair.applyInArrow(_repeats(spec, n_buckets, n_shards), "repeat_id long, doc_id long, row long, start long, length long")
+        return pair.applyInArrow(tidied_pair(_repeats(spec, n_buckets, n_shards)), "repeat_id long, doc_id long, row long, start long, length long")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_symbols", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
                            T.StructField("kept_sha256", T.StringType())])
     if keep_row:
         schema = schema.add("kept", T.StringType()).add("__row", blocks.schema["__row"].dataType)
-    return pair.applyInArrow(_report(spec, n_buckets, n_shards, keep_row), schema)
+    return pair.applyInArrow(tidied_pair(_report(spec, n_buckets, n_shards, keep_row)), schema)

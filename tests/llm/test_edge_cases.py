@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns: every operator has a defined result."""
 import brute
 import pytest
+from pyspark.sql import functions as F
 from odd_tables import benchmark, labels, nothing, odd  # noqa: F401  (fixtures)
 
 import corpus_pipeline
@@ -75,6 +76,30 @@ def test_op4(odd, nothing, labels):
     assert kept.columns == odd.columns and kept.count() == sum(r.predicted for r in rows)
 
 
+CLASHING = ("label", "__id", "__doc", "__text", "bucket", "node", "doc", "name", "good", "quality", "toxic", "n", "x", "at")
+
+
+@pytest.mark.parametrize("run", [
+    lambda d, b, m: op1_decontaminate.decontaminate(d, b), lambda d, b, m: op2_order_minhash.order_minhash(d), lambda d, b, m: op3_toxicity.toxicity(d, m),
+    lambda d, b, m: op4_quality.scored(d, m), lambda d, b, m: op4_quality.keep_good(d, m), lambda d, b, m: op5_licenses.scanned(d),
+    lambda d, b, m: op6_repeats.removal_report(d), lambda d, b, m: op6_repeats.dedup(d), lambda d, b, m: op8_automata.removal_report(d),
+    lambda d, b, m: op9_minhash.near_duplicates(d), lambda d, b, m: op9_minhash.dedup(d), lambda d, b, m: op10_sentencepiece.encode(d)], ids=range(12))
+def test_clashing_names_on_every_table(odd, benchmark, labels, run):
+    """Extra columns with the names that operators use inside, on documents, benchmark and labels: same result as without them."""
+    more = lambda df: df.withColumns({c: F.lit("x") for c in CLASHING if c not in df.columns})
+    got, want = run(more(odd), more(benchmark), more(labels)), run(odd, benchmark, labels)
+    assert [c for c in got.columns if c not in CLASHING or c in want.columns] == want.columns
+    brute.same(map(str, got.select(want.columns).collect()), [tuple(str(r)) for r in want.collect()])
+
+
+def test_op7_takes_any_number_of_languages(spark):
+    word = lambda i: "".join(chr(97 + i // 7 ** k % 7 + 7 * k) for k in range(3)) * 3
+    docs = spark.createDataFrame([(i, f"{word(i)} " * 20, f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, f"https://h{i}.x/", f"<p>{f'{word(i)} ' * 30}</p>") for i in range(0, 300, 50)], "page_id long, url string, html string")
+    rows = op7_language.page_languages(pages, docs).collect()
+    assert {r.page_id: r.text_language for r in rows} == {i: f"l{i:03}" for i in range(0, 300, 50)}
+
+
 def test_op5(odd, nothing):
     rows = op5_licenses.scanned(odd).collect()
     assert len(rows) == odd.count() and all(r.licenses == [] and not r.restricted for r in rows)
