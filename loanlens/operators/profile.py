@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.canon import c, n_rows, pct
+from loanlens.functions.collation import grouped
 
 
 def segment_profile(df: DataFrame, keys: Sequence, measures: Mapping[str, Column],
@@ -23,7 +24,7 @@ def segment_profile(df: DataFrame, keys: Sequence, measures: Mapping[str, Column
     if where is not None:
         df = df.filter(where)
     aggs = [n_rows().alias(count_name)] + [m.alias(k) for k, m in measures.items()]
-    out = df.groupBy(*keys).agg(*aggs)
+    out = grouped(df, *keys).agg(*aggs)
     if min_count is not None:
         out = out.filter(F.col(count_name) >= min_count)
     return out
@@ -43,7 +44,7 @@ def profile_with_total(df: DataFrame, keys: Sequence, keep: Column,
     column to sum (``count_name`` or a measure name).
     """
     flagged = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    g = flagged.groupBy(F.col("_keep"), *keys).agg(
+    g = grouped(flagged, F.col("_keep"), *keys).agg(
         n_rows().alias(count_name), *[m.alias(k) for k, m in measures.items()])
     everything = Window.partitionBy()
     for name, src in totals.items():
@@ -66,7 +67,7 @@ def calibration(df: DataFrame, key: str, expected: Mapping[str, Column],
     """Expected (model) versus realized outcome averages per segment."""
     if where is not None:
         df = df.filter(where)
-    return df.groupBy(key).agg(*[m.alias(k) for k, m in {**expected, **realized}.items()])
+    return grouped(df, key).agg(*[m.alias(k) for k, m in {**expected, **realized}.items()])
 
 
 __all__ = ["segment_profile", "profile_with_total", "share_of_groups", "calibration"]

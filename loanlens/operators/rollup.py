@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.canon import c, iavg_over
+from loanlens.functions.collation import grouped
 
 
 def entity_rollup(df: DataFrame, entity: str, inner: Mapping[str, Column],
@@ -23,8 +24,8 @@ def entity_rollup(df: DataFrame, entity: str, inner: Mapping[str, Column],
     """
     if where is not None:
         df = df.filter(where)
-    per_entity = df.groupBy(entity).agg(*[m.alias(k) for k, m in inner.items()])
-    out = per_entity.groupBy(*outer_keys).agg(*[m.alias(k) for k, m in outer.items()])
+    per_entity = grouped(df, entity).agg(*[m.alias(k) for k, m in inner.items()])
+    out = grouped(per_entity, *outer_keys).agg(*[m.alias(k) for k, m in outer.items()])
     if having is not None:
         out = out.filter(having)
     return out
@@ -47,7 +48,7 @@ def cohort_trend(df: DataFrame, ts, grains: Sequence[str], measures: Mapping[str
         df = df.filter(where)
     df = cohort_columns(df, ts, grains, names)
     keys = [(names or {}).get(g, g) for g in grains]
-    return df.groupBy(*keys).agg(*[m.alias(k) for k, m in measures.items()])
+    return grouped(df, *keys).agg(*[m.alias(k) for k, m in measures.items()])
 
 
 def windowed_baseline(df: DataFrame, partition: str, measure: str, out: str) -> DataFrame:

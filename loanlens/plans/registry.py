@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.plans import generic, statements, tier1, tier2, tier3, tier4
+from loanlens.plans import extended, generic, statements, tier1, tier2, tier3, tier4
 from loanlens.sources.loans import loans
 
 _TIERS = [tier1, tier2, tier3, tier4]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name, fn in loan_functions().items():
         out[name] = (lambda f: lambda spark, sf_dir: f(loans(spark, sf_dir)))(fn)
     out.update(generic.FUNCS)
+    out.update(extended.FUNCS)
     return out
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
     for t in (tier1, tier2, tier3, statements):
         out.update(t.SQL)
     out.update(generic.SQL)
+    out.update(extended.SQL)
     return out

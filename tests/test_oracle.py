@@ -2,12 +2,12 @@
 import pytest
 
 import __spark_entry__ as E
+from loanlens.plans import registry
 from verify import compare
 
 from conftest import SF_MID, SF_SMALL
 
-# the corpus operators have tests of their own
-QUERIES = {k: v for k, v in E.queries().items() if k[0] in "sg"}
+QUERIES = registry.queries()
 SQL = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
