@@ -34,7 +34,7 @@ from loanlens.llm.common import materialized, read_table
 
 MIN_BYTES = 50
 GRAM = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_WINDOWS = 100_000
 
 
@@ -158,7 +158,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with those bytes removed from ``text`` (cut characters go); a null text stays null."""
     done = _find(docs, "report", keep_row=True)
     return done.select(*(
-        F.when(F.col("__row.text").isNotNull(), F.col("kept")).alias(c) if c == "text" else F.col("__row")[c].alias(c)
+        F.when(~F.col("__row.no_text"), F.col("kept")).alias(c) if c == "text" else F.col("__row.rest")[c].alias(c)
         for c in docs.columns))
 
 

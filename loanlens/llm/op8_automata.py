@@ -26,7 +26,7 @@ from loanlens.llm.common import gram_hashes, mix, read_table
 
 WINDOW_WORDS = 20
 GRAM = 8
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_WINDOWS = 25_000
 
 
@@ -102,7 +102,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with those words removed from ``text``, the kept words joined by one space; a null text stays null."""
     done = _find(docs, "report", keep_row=True)
     return done.select(*(
-        F.when(F.col("__row.text").isNotNull(), F.col("kept")).alias(c) if c == "text" else F.col("__row")[c].alias(c)
+        F.when(~F.col("__row.no_text"), F.col("kept")).alias(c) if c == "text" else F.col("__row.rest")[c].alias(c)
         for c in docs.columns))
 
 

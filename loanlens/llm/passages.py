@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 from loanlens.llm.common import NULL_ID, WordHashes, arrow_binary, gram_hashes, ids_of, mix, text_bytes, tidied_group, tidied_pair
 
 POS_BITS = 24
-SEGMENT = 1 << 20                 # window starts handled at a time
+SEGMENT = 1 << 18                 # window starts handled at a time
+BLOCKS_PER_BUCKET, BLOCKS_PER_SHARD = 16, 4
 
 
 @dataclass(frozen=True)
@@ -464,12 +465,15 @@ def find(docs: DataFrame, spec: Spec, finder: Finder, *, output: str, block_byte
          keep_row: bool = False) -> DataFrame:
     """``output`` "report": a row per document; "repeats": a row per occurrence of a repeat, ``row`` hashes its text."""
     n = max(1, -(-text_bytes(docs) // block_bytes))
-    n_buckets, n_shards = n, 2 * n
+    # a bucket holds 4 bytes for each anchor of so many blocks' worth of text, a shard the contexts of theirs that recur:
+    # megabytes each, and far fewer rows than blocks times blocks
+    n_buckets, n_shards = -(-n // BLOCKS_PER_BUCKET), -(-n // BLOCKS_PER_SHARD)
     cols = [F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)),
                               F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).alias("__block"),
             F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("binary").alias("__text")]
     if keep_row:
-        cols.append(F.struct(*docs.columns).alias("__row"))
+        # the text itself is in __text
+        cols.append(F.struct(F.col("text").isNull().alias("no_text"), F.struct(*(c for c in docs.columns if c != "text")).alias("rest")).alias("__row"))
     blocks = docs.select(*cols)
 
     anchors = blocks.groupBy("__block").applyInArrow(
