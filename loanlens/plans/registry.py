@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.plans import extended, generic, statements, tier1, tier2, tier3, tier4
+from loanlens.plans import extended, generic, statements, streams, tier1, tier2, tier3, tier4
 from loanlens.sources.loans import loans
 
 _TIERS = [tier1, tier2, tier3, tier4]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[name] = (lambda f: lambda spark, sf_dir: f(loans(spark, sf_dir)))(fn)
     out.update(generic.FUNCS)
     out.update(extended.FUNCS)
+    out.update(streams.FUNCS)
     return out
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         out.update(t.SQL)
     out.update(generic.SQL)
     out.update(extended.SQL)
+    out.update(streams.SQL)
     return out
