@@ -92,7 +92,7 @@ dealt AS (
          + CASE WHEN event_id % {STRAGGLERS} = 7 THEN 2 ELSE 0 END, {DROPS - 1}) AS arrives
   FROM events, bounds),
 marks AS (
-  SELECT d.arrives, max(epoch_us(e.ts)) // 1000 * 1000 - {DELAY_S} * 1000000 AS mark
+  SELECT d.arrives, max(epoch_us(e.ts)) // 1000 * 1000 - {DELAY_S * 1_000_000} AS mark
   FROM (SELECT DISTINCT arrives FROM dealt) d JOIN dealt e ON e.arrives < d.arrives GROUP BY d.arrives),
 timely AS (SELECT dealt.* FROM dealt LEFT JOIN marks USING (arrives) WHERE mark IS NULL OR epoch_us(ts) > mark)"""
 _SUMS = "CAST(count(*) AS BIGINT) AS events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value_cents"
