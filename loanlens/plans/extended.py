@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import canon as K
 from loanlens.functions.collation import CASE_AND_BLANKS, collated
+from loanlens.functions.semistructured import parsed, store, typed
 from loanlens.operators.joins import interval_join
+from loanlens.operators import snapshots
 from loanlens.operators.ranges import asof_join, windows
+from loanlens.operators.summaries import cube, estimates, exact_percentiles, largest, merged, sketches
 from loanlens.plans import sqlkit as S
 from loanlens.plans import statements
 from loanlens.plans.tier1 import s04_status_summary
 from loanlens.plans.tier2 import s07_rating_vs_default
 from loanlens.plans.tier4 import s36_borrower_progression
+from loanlens.session import checkpoint_dir
 from loanlens.sources.loans import loans
 from loanlens.sources.tables import read_table
 
@@ -115,6 +119,65 @@ def w02_borrower_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("decimal(38,2)") for c in ("borrowed", "last_three")})
 
 
+# --- summaries of groups of any size ----------------------------------------------
+
+def p01_amount_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median, 90th and 99th percentile of the loan amount per status."""
+    return exact_percentiles(loans(spark, sf_dir), ["loan_status"], "loan_original_amount", {"median": "0.5", "p90": "0.9", "p99": "0.99"})
+
+
+def p02_line_price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quartiles of the price of all lines by return flag."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("decimal(15,2)").alias("price"))
+    return exact_percentiles(lines, ["l_returnflag"], "price", {"least": 0, "q1": "0.25", "median": "0.5", "q3": "0.75", "most": 1})
+
+
+def q01_portfolio_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans, amounts and losses by every subset of status, rating, term and year."""
+    df = loans(spark, sf_dir).select("loan_status", "risk_rating", "term", F.year("loan_origination_date").alias("year"), "loan_original_amount",
+                                     "lp_net_principal_loss", "borrower_apr")
+    return cube(df, ["loan_status", "risk_rating", "term", "year"], {"amount": F.col("loan_original_amount").cast("decimal(28,2)"),
+                "net_loss": F.col("lp_net_principal_loss").cast("decimal(28,2)")}, {"least_apr": F.col("borrower_apr")}, {"most_apr": F.col("borrower_apr")}, count="loans")
+
+
+def t01_largest_loans_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest loans of each state."""
+    df = loans(spark, sf_dir).select("borrower_state", "loan_number", "loan_original_amount", "loan_status")
+    return largest(df, ["borrower_state"], [F.desc("loan_original_amount"), F.asc("loan_number")], 10, "size_rank")
+
+
+def k01_status_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates per status from sketches stored by status and month: borrowers, median and 99th percentile of the amount in cents."""
+    df = loans(spark, sf_dir).withColumn("month", F.trunc("loan_origination_date", "month"))
+    by_month = sketches(df, ["loan_status", "month"], {"borrowers": "member_key"}, {"cents": F.col("loan_original_amount") * 100})
+    stored = f"{checkpoint_dir(spark)}/sketches-{spark._jvm.java.util.UUID.randomUUID()}"
+    by_month.write.parquet(stored)
+    by_status = merged(spark.read.parquet(stored), ["loan_status"], ["borrowers"], ["cents"])
+    return estimates(by_status, ["loan_status"], ["borrowers"], {"cents": [0.5, 0.99]})
+
+
+def v01_events_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and their value by a typed path of ``props``; a tenth of the texts is cut short, a tenth holds text for the number."""
+    kind = F.col("event_id") % 10
+    events = read_table(spark, sf_dir, "events").select("event_id", "event_type", F.rint(F.col("value") * 100).cast("long").alias("cents"), F.when(
+        kind == 3, F.substring("props", 1, 3)).when(kind == 4, F.lit('{"k": "many", "other": [1, 2]}')).otherwise(F.col("props")).alias("props"))
+    table = store(parsed(events, "props"), f"{checkpoint_dir(spark)}/events-{spark._jvm.java.util.UUID.randomUUID()}")
+    return (typed(table, "props", {"k": ("$.k", "int"), "second": ("$.other[1]", "long")}).groupBy("event_type", "k")
+            .agg(F.count(F.lit(1)).alias("events"), F.sum("cents").alias("cents"), F.sum("second").alias("seconds")))
+
+
+def d01_loan_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a later snapshot of the loans added, removed and changed: closed loans go, late ones change, new ones come."""
+    now = loans(spark, sf_dir).select("loan_number", "loan_status", "loan_original_amount", "closed_date")
+    number = F.col("loan_number")
+    before = now.where(number % 300 != 5)
+    after = now.where(number % 200 != 7).withColumn("loan_status", F.when((number % 500 == 11), F.lit("Completed")).otherwise(F.col("loan_status")))
+    folder = f"{checkpoint_dir(spark)}/snapshots-{spark._jvm.java.util.UUID.randomUUID()}"
+    for name, rows in (("old", before), ("new", after)):
+        snapshots.store(rows, f"{folder}/{name}", ["loan_number"], buckets=16)
+    return snapshots.difference(spark, f"{folder}/old", f"{folder}/new", ["loan_number"])
+
+
 # --- oracles ------------------------------------------------------------------------
 
 def _spelled_sql(c: str) -> str:
@@ -196,8 +259,39 @@ SELECT member_key, loan_number, loan_origination_date, loan_original_amount,
        first_value(loan_number) OVER {_over(_IN_ORDER, 'member_key')}) AS first_loan,
        last_value(loan_number) OVER {_over(_IN_ORDER, 'member_key')} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_loan
 FROM loan"""),
+    "p01_amount_percentiles": S.over_loans("""
+SELECT loan_status, quantile_disc(loan_original_amount, 0.5) AS median, quantile_disc(loan_original_amount, 0.9) AS p90,
+       quantile_disc(loan_original_amount, 0.99) AS p99 FROM loan GROUP BY loan_status"""),
+    "p02_line_price_percentiles": """
+SELECT l_returnflag, min(price) AS least, quantile_disc(price, 0.25) AS q1, quantile_disc(price, 0.5) AS median, quantile_disc(price, 0.75) AS q3,
+       max(price) AS most FROM (SELECT l_returnflag, CAST(l_extendedprice AS DECIMAL(15,2)) AS price FROM lineitem) GROUP BY l_returnflag""",
+    "q01_portfolio_cube": S.over_loans("""
+SELECT loan_status, risk_rating, term, year, grouping_id(loan_status, risk_rating, term, year) AS grouping_id, count(*) AS loans,
+       CAST(sum(loan_original_amount) AS DECIMAL(38,2)) AS amount, CAST(sum(lp_net_principal_loss) AS DECIMAL(38,2)) AS net_loss,
+       min(borrower_apr) AS least_apr, max(borrower_apr) AS most_apr
+FROM (SELECT *, CAST(year(loan_origination_date) AS INTEGER) AS year FROM loan) GROUP BY CUBE (loan_status, risk_rating, term, year)"""),
+    "t01_largest_loans_by_state": S.over_loans("""
+SELECT * FROM (
+  SELECT borrower_state, loan_number, loan_original_amount, loan_status,
+         CAST(row_number() OVER (PARTITION BY borrower_state ORDER BY loan_original_amount DESC, loan_number) AS INTEGER) AS size_rank FROM loan)
+WHERE size_rank <= 10"""),
+    "v01_events_by_property": """
+SELECT event_type, k, CAST(count(*) AS BIGINT) AS events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents,
+       CAST(sum(CASE WHEN event_id % 10 = 4 THEN 2 END) AS BIGINT) AS seconds
+FROM (SELECT *, CASE WHEN event_id % 10 NOT IN (3, 4) THEN TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+) *[,}]', 1) AS INTEGER) END AS k FROM events)
+GROUP BY event_type, k""",
+    "d01_loan_changes": S.over_loans("""
+WITH slim AS (SELECT loan_number, loan_status, loan_original_amount, closed_date FROM loan),
+old AS (SELECT * FROM slim WHERE loan_number % 300 <> 5),
+new AS (SELECT * REPLACE (CASE WHEN loan_number % 500 = 11 THEN 'Completed' ELSE loan_status END AS loan_status) FROM slim WHERE loan_number % 200 <> 7),
+gone AS (SELECT * FROM old EXCEPT ALL SELECT * FROM new), come AS (SELECT * FROM new EXCEPT ALL SELECT * FROM old)
+SELECT *, CASE WHEN loan_number IN (SELECT loan_number FROM new) THEN 'changed from' ELSE 'removed' END AS change, CAST(1 AS BIGINT) AS copies FROM gone
+UNION ALL
+SELECT *, CASE WHEN loan_number IN (SELECT loan_number FROM old) THEN 'changed to' ELSE 'added' END, CAST(1 AS BIGINT) FROM come"""),
 }
 
 FUNCS = {f.__name__: f for f in (
     c01_status_summary_collated, c02_status_summary_binary, c03_rating_default_collated, c04_borrower_progression_collated,
-    j01_events_asof_orders, j02_last_loss_in_state, j03_stacked_loans, w01_running_portfolio, w02_borrower_sequence)}
+    j01_events_asof_orders, j02_last_loss_in_state, j03_stacked_loans, w01_running_portfolio, w02_borrower_sequence,
+    p01_amount_percentiles, p02_line_price_percentiles, q01_portfolio_cube, t01_largest_loans_by_state, k01_status_sketches,
+    v01_events_by_property, d01_loan_changes)}
