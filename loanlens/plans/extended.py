@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import canon as K
 from loanlens.functions.collation import CASE_AND_BLANKS, collated
+from loanlens.functions.dates import iso_dates
 from loanlens.functions.semistructured import parsed, store, typed
 from loanlens.operators.joins import interval_join
 from loanlens.operators import snapshots
@@ -18,8 +19,10 @@ from loanlens.operators.ranges import asof_join, windows
 from loanlens.operators.summaries import cube, estimates, exact_percentiles, largest, merged, sketches
 from loanlens.plans import sqlkit as S
 from loanlens.plans import statements
-from loanlens.plans.tier1 import s04_status_summary
+from loanlens.plans import tier1, tier3
+from loanlens.plans.tier1 import s04_status_summary, s06_yearly_trend
 from loanlens.plans.tier2 import s07_rating_vs_default
+from loanlens.plans.tier3 import s24_monthly_seasonality
 from loanlens.plans.tier4 import s36_borrower_progression
 from loanlens.session import checkpoint_dir
 from loanlens.sources.loans import loans
@@ -66,6 +69,35 @@ def c04_borrower_progression_collated(spark: SparkSession, sf_dir: str) -> DataF
     return s36_borrower_progression(_respelled_loans(spark, sf_dir, CASE_AND_BLANKS))
 
 
+def redated(df: DataFrame) -> DataFrame:
+    """The loan table with its raw dates written in six ways, as files of several origins have them."""
+    day, raw = F.col("loan_origination_date"), F.col("loan_origination_raw")
+    way = F.when(K.safe_timestamp(raw).isNotNull(), F.col("loan_number") % 6)
+    texts = (raw, F.date_format(day, "MM/dd/yyyy"), F.concat(F.date_format(day, "MMM d yyyy"), F.lit(" 12:00AM")), F.date_format(day, "dd-MMM-yyyy"),
+             F.date_format(day, "yyyyMMdd"), F.date_format(day, "MMMM d, yyyy"))
+    written = raw
+    for i, text in enumerate(texts):
+        written = F.when(way == i, text).otherwise(written)
+    return df.withColumn("loan_origination_raw", written)
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans of several origins, stored as they came, and stored again with their dates rewritten."""
+    checkpoint_dir(spark)
+    came = redated(loans(spark, sf_dir)).checkpoint(eager=True)
+    return iso_dates(came, "loan_origination_raw").checkpoint(eager=True)
+
+
+def f01_yearly_trend_mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s06 over raw dates of six forms, rewritten as they come in: as over one."""
+    return s06_yearly_trend(_imported(spark, sf_dir))
+
+
+def f02_monthly_seasonality_mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s24 over raw dates of six forms, rewritten as they come in: as over one."""
+    return s24_monthly_seasonality(_imported(spark, sf_dir))
+
+
 # --- as-of and interval joins ---------------------------------------------------
 
 def j01_events_asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +249,8 @@ SELECT min(risk_rating) AS risk_rating, {S.N} AS total_loans, {S.avg_x('borrower
 FROM spelled WHERE risk_rating IS NOT NULL GROUP BY lower(rtrim(risk_rating))"""),
     # one spelling throughout: the analysis must not see the others
     "c04_borrower_progression_collated": statements.SQL["s36_borrower_progression"],
+    "f01_yearly_trend_mixed_dates": tier1.SQL["s06_yearly_trend"],
+    "f02_monthly_seasonality_mixed_dates": (tier3.SQL | statements.SQL)["s24_monthly_seasonality"],
     "j01_events_asof_orders": """
 WITH last_of_day AS (
   SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL),
@@ -291,7 +325,7 @@ SELECT *, CASE WHEN loan_number IN (SELECT loan_number FROM old) THEN 'changed t
 }
 
 FUNCS = {f.__name__: f for f in (
-    c01_status_summary_collated, c02_status_summary_binary, c03_rating_default_collated, c04_borrower_progression_collated,
+    f01_yearly_trend_mixed_dates, f02_monthly_seasonality_mixed_dates, c01_status_summary_collated, c02_status_summary_binary, c03_rating_default_collated, c04_borrower_progression_collated,
     j01_events_asof_orders, j02_last_loss_in_state, j03_stacked_loans, w01_running_portfolio, w02_borrower_sequence,
     p01_amount_percentiles, p02_line_price_percentiles, q01_portfolio_cube, t01_largest_loans_by_state, k01_status_sketches,
     v01_events_by_property, d01_loan_changes)}

@@ -49,13 +49,14 @@ CSV_OPTIONS = {"header": "true", "mode": "FAILFAST", "enforceSchema": "false",
 _DATES = ("loan_origination_date", "loan_origination_raw")
 
 
-def by_name(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+def by_name(df: DataFrame, mapping: dict[str, str] | None = None, lenient: bool = False) -> DataFrame:
     """The 48 loan columns from text columns, bound by name and cast (a malformed value fails).
 
     ``mapping``: file header -> loan column, for files of other origin; without
     it the headers are the loan columns' names. Other columns are ignored, a
     missing one fails. One mapped date text fills both date columns: the raw
-    text as it is, the date NULL where the text is no date.
+    text as it is, the date NULL where the text is no date. ``lenient``: a malformed
+    value is NULL and named in ``reasons``; the other columns are kept beside.
     """
     source = {col: head for head, col in (mapping or {n: n for n, _ in LOAN_COLUMNS}).items()}
     given = [d for d in _DATES if d in source]
@@ -69,8 +70,18 @@ def by_name(df: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
         x = F.col("`" + source[name].replace("`", "``") + "`")
         if mapping and len(given) == 1 and name == "loan_origination_date":
             return x.try_cast("timestamp").cast(kind)
-        return x.cast(kind)
-    return df.select(*(typed(n, t).alias(n) for n, t in LOAN_COLUMNS))
+        return x.try_cast(kind) if lenient else x.cast(kind)
+    columns = [typed(n, t).alias(n) for n, t in LOAN_COLUMNS]
+    if not lenient:
+        return df.select(*columns)
+    free = mapping and len(given) == 1                          # its date may be any text
+    reasons = []
+    for n, t in LOAN_COLUMNS:
+        if not isinstance(t, T.StringType) and not (free and n == "loan_origination_date"):
+            x = F.col("`" + source[n].replace("`", "``") + "`")
+            reasons.append(F.when(x.isNotNull() & x.try_cast(t).isNull(), F.concat(F.lit(f"{n}: "), x)))
+    held = [c for c in df.columns if c.startswith("__")]
+    return df.select(*columns, *held, F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"))
 
 
 def read_loans_csv(spark: SparkSession, path: str, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -79,6 +90,52 @@ def read_loans_csv(spark: SparkSession, path: str, mapping: dict[str, str] | Non
     return by_name(spark.read.options(**CSV_OPTIONS).csv(path), mapping)
 
 
+def checked(df: DataFrame, mapping: dict[str, str] | None = None, malformed: str | None = None) -> DataFrame:
+    """The 48 loan columns as ``by_name`` gives them, with ``reasons``: the values that do not fit, empty for a good record.
+
+    A value that does not fit is NULL in its column. ``malformed``: a column that holds records that could not be split into fields.
+    """
+    names = by_name(df, mapping, lenient=True)
+    return names if malformed is None else names.withColumn("reasons", F.when(F.col(malformed).isNotNull(), F.array(F.lit("fields"))).otherwise(F.col("reasons")))
+
+
+def import_loans_csv(spark: SparkSession, path: str, folder: str, mapping: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reads CSV files into ``folder`` (shared): (good records as loans, rejected records with their ``file``, ``record`` and ``reasons``).
+
+    One pass over the files; a bad record does not end it, and none is dropped. ``import_counts`` counts both.
+    """
+    options = CSV_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
+    head = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    text = T.StructType([T.StructField(n, _S) for n in [*head, _MALFORMED]])
+    raw = spark.read.schema(text).options(**options).csv(path).select("*", F.col("_metadata.file_path").alias("__file"))
+    rows = checked(raw.withColumn("__record", F.to_json(F.struct(*head))), mapping, _MALFORMED)
+    rows = rows.withColumn("rejected", F.size("reasons") > 0)
+    kept = F.when(F.col("rejected"), F.coalesce(F.col(_MALFORMED), F.col("__record")))
+    rows.select(*(n for n, _ in LOAN_COLUMNS), F.when(F.col("rejected"), F.col("__file")).alias("file"), kept.alias("record"), "reasons", "rejected") \
+        .write.partitionBy("rejected").parquet(folder)
+    stored = spark.read.schema(_stored_schema()).parquet(folder)
+    return (stored.where(~F.col("rejected")).select(*(n for n, _ in LOAN_COLUMNS)),
+            stored.where("rejected").select("file", "record", "reasons"))
+
+
+_MALFORMED = "__malformed"
+
+
+def _stored_schema() -> T.StructType:
+    more = [T.StructField("file", _S), T.StructField("record", _S), T.StructField("reasons", T.ArrayType(_S)), T.StructField("rejected", T.BooleanType())]
+    return T.StructType([*LOAN_SCHEMA.fields, *more])
+
+
+def import_counts(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Records of an import: good and rejected ones, and by reason (the column that did not fit)."""
+    stored = spark.read.schema(_stored_schema()).parquet(folder)
+    rows = stored.groupBy("rejected").count().collect()
+    out = {"good": 0, "rejected": 0} | {"rejected" if r.rejected else "good": r["count"] for r in rows}
+    by_reason = (stored.where("rejected").select(F.explode("reasons").alias("r"))
+                 .groupBy(F.substring_index("r", ":", 1).alias("column")).count().collect())             # 49 rows at most
+    return out | {r.column: r["count"] for r in by_reason}
+
+
 def write_loans_csv(df: DataFrame, path: str) -> str:
     df.select([n for n, _ in LOAN_COLUMNS]).write.mode("overwrite") \
         .options(header="true", dateFormat="yyyy-MM-dd").csv(path)

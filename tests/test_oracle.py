@@ -12,10 +12,11 @@ SQL = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(SQL)
+    # estimates have no SQL; tests/test_summaries.py measures their error
+    assert set(QUERIES) - set(SQL) == {"k01_status_sketches"} and not set(SQL) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle_small(spark, duck_small, name):
     rep = compare(QUERIES[name](spark, SF_SMALL), SQL[name], duck_small)
     assert rep["ok"], rep
