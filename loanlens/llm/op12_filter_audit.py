@@ -6,8 +6,9 @@ of five bits, and all that the audit asks depends on the mask alone:
 1. Masks. Four filters look at the text, in the document's row. The fifth, whether
    a smaller doc_id has the same text, needs the smallest doc_id of every text: a
    grouped minimum over digests, joined back by digest. Only digests, masks and
-   labels are shuffled, never texts; the minimum is combined before the shuffle,
-   and the join holds no aggregate of the large side, so AQE can split a hot text.
+   labels are shuffled, never texts; the minimum is combined before the shuffle, and
+   stored (for texts that stand twice or more), so both sides of the join are plain
+   exchanges and AQE can split a hot text.
 2. Counts of (part, mask): 32 rows a part at most.
 3. Difference arrays. The orders that share a prefix have neighbouring
    lexicographic ranks (Lehmer codes). A document leaves at step s where the s-th
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import NULL_ID, read_table
+from loanlens.llm.common import NULL_ID, materialized, read_table
 
 LETTERS = "ABCDE"
 STEPS = len(LETTERS)
@@ -84,8 +85,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
              F.col("text").rlike(r"[#$%&*|]"))
     bits = sum((F.when(x, 1 << i).otherwise(0) for i, x in enumerate(fails)), F.lit(0))
     rows = rows.select("id", "part", bits.alias("bits"), F.unhex(F.sha2("text", 256)).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    rows = rows.join(first, "digest").select(
+    first = materialized(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), narrow=True)
+    rows = rows.join(first, "digest", "left").select(
         "id", "part", (F.col("bits") + F.when(F.col("id") > F.col("first"), 1 << 4).otherwise(0)).alias("mask"))
     marks = (labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
              .where("id IS NOT NULL").groupBy("id").agg(F.bool_or("good").alias("good"), F.bool_or("toxic").alias("toxic")))
