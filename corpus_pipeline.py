@@ -3,6 +3,16 @@ duplicates, without repeats, not in the benchmark, encoded.
 
 Each stage takes all rows that its predecessor kept. A stage's result is
 written as Parquet and read again as the next one's ``docs``.
+
+Defined cases, by stage: null and empty texts are scored by the first stage as any
+other, stand alone in the second (each is kept), pass the third and fourth unchanged,
+and have null (empty) ids in the last. Rows without doc_id are scored, kept by the
+second, count as one document behind all others in the third. Repeated rows of one
+doc_id are one document in the second, so one of them stays; ties there go to the
+smallest text. Very long texts are taken whole by every stage, in slices of their own.
+Extra columns are carried by all stages but the last, whatever their names; an empty
+table gives empty results; without labels every document is good, without a benchmark
+none is contaminated.
 """
 
 from __future__ import annotations

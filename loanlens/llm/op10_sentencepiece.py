@@ -21,7 +21,8 @@ Decoding is exact for every valid text: a literal U+2581, which SentencePiece
 would turn into a space, goes through byte fallback here.
 
 Defined cases: null text gives null ids and null text back; an empty text has
-no ids; bytes of ids that are not valid UTF-8 decode to U+FFFD; ids outside the
+no ids; a very long text is encoded whole, in a slice of its own; repeated rows are
+encoded each; of equally cheap paths the one with the longest last piece counts; bytes of ids that are not valid UTF-8 decode to U+FFFD; ids outside the
 model are an error; an empty table gives an empty result; other columns are
 carried or, in the query, ignored; a clashing ``ids`` column is replaced.
 """

@@ -8,13 +8,15 @@ by backward search through wavelet ranks, finds the occurrences by sampled
 suffix positions, and merges them to spans of words.
 
 The corpus is not shuffled. The benchmark goes to the tasks in blocks of
-bounded size, one pass of the same task for each block, so its size is free.
+bounded size, one step of the same task for each block: every step holds its block's
+windows in a worker of its own, so time and memory grow with the benchmark's blocks.
 
 Defined cases: null text has no words; an item with no words has no window; an
 item shorter than a window is one window; items with one ``item_id`` are one
 item, and an item without id is named by the empty string; an empty benchmark
 hits nothing; an empty table gives an empty result; documents are judged row by
-row, so repeated rows get equal results; other columns are ignored
+row, so repeated rows get equal results; a very long text is indexed whole, in a shard
+of its own; other columns are ignored
 (``decontaminate`` carries them).
 """
 

@@ -25,7 +25,9 @@ labels are never read.
 Defined cases: null and empty texts have no features and get the intercepts'
 probabilities; a row without doc_id is held out; several labels of a document
 count by their mean (0.5 and above is 1), null labels not at all; a link whose
-training rows are of one class gives that class's smoothed share; an empty
+training rows are of one class gives that class's smoothed share; repeated rows get
+equal results; of features with equal log-odds the smaller number is kept; a very
+long text is read whole, in a slice of its own; an empty
 table gives an empty result; other columns are ignored.
 """
 

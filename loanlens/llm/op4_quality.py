@@ -21,7 +21,10 @@ Defined cases: null and empty texts pool to zeros and are scored; a row without
 doc_id is held out; several labels of a document count by their mean (0.5 and
 above is 1), null labels not at all; without two classes of labels every score
 is the share of ones (1 without any label); an empty table gives an empty
-result; other columns are ignored (``keep_good`` carries them).
+result; repeated rows are scored each, and equal texts alike; a very long text is
+pooled in chunks of CHUNK tokens; other columns are ignored, whatever their names
+(``keep_good`` carries them). The table of buckets does not grow with the corpus:
+words that share a bucket share a vector.
 """
 
 from __future__ import annotations

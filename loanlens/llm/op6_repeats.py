@@ -18,7 +18,8 @@ It reports repeats within one document too; the removal, by documents, needs nei
 
 Defined cases: null text is empty; empty texts and texts below the length have
 no repeats; rows with a null ``doc_id`` count as one document after all
-others; rows with the same ``doc_id`` count as one document; an empty table
+others; rows with the same ``doc_id`` count as one document; a very long text is in
+one block, whose memory grows with it; an empty table
 gives an empty result; other columns are ignored (``dedup`` carries them).
 """
 

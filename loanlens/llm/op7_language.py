@@ -20,7 +20,8 @@ languages is taken; a task counts ``LANGUAGES_AT_ONCE`` before it sends them on.
 Defined cases: null or blank html has no text and no declaration, a null or
 malformed url no host and no suffix; evidence that a page lacks is left out, so a
 page with none gets the most frequent language; a declared language that no
-document has counts as one value, "other"; ties go to the first language in
+document has counts as one value, "other"; repeated pages count each and get one
+result each; a very long page is read whole, in a slice of its own; ties go to the first language in
 order; documents without lang or text teach nothing; without any language, an
 empty ``documents`` table for one, language and probability are null; an empty
 ``pages`` table gives an empty result; other columns are ignored.

@@ -10,7 +10,8 @@ stays, the others are removed.
 Defined cases: null text has no words; documents below 20 words have no
 windows; rows with a null ``doc_id`` count as one document after all others;
 rows with the same ``doc_id`` count as one document in which equal starts stay;
-an empty table gives an empty result; other columns are ignored (``dedup``
+a very long text is in one block, whose memory grows with it; an empty table
+gives an empty result; other columns are ignored (``dedup``
 carries them).
 """
 

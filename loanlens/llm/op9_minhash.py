@@ -17,7 +17,7 @@ million at 0.85 and 8 in a million at 0.8, see ``miss_probability``).
 Texts with equal sets are one node from the start; copies are never paired.
 
 Defined cases: a null or blank text has the empty set and is linked with
-nothing; rows with the same ``doc_id`` are one document that has the links of
+nothing; a very long text's set is hashed whole, in a slice of its own; rows with the same ``doc_id`` are one document that has the links of
 all its texts; a row without ``doc_id`` cannot be named as a component, is
 linked with nothing and kept; an empty table gives an empty result; other
 columns are ignored (``dedup`` carries them).
