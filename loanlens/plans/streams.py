@@ -53,19 +53,24 @@ def streamed(spark: SparkSession, sf_dir: str, windows: EventWindows, name: str)
     return stream
 
 
+def _without_zone(windows: DataFrame) -> DataFrame:
+    """Window bounds as the table's own times are."""
+    return windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 def e01_hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and their value by hour and type, late rows left out."""
-    return streamed(spark, sf_dir, HOURLY, "hourly").result()
+    return _without_zone(streamed(spark, sf_dir, HOURLY, "hourly").result())
 
 
 def e02_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over six hours, every two hours."""
-    return streamed(spark, sf_dir, SLIDING, "sliding").result()
+    return _without_zone(streamed(spark, sf_dir, SLIDING, "sliding").result())
 
 
 def e03_user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user, which end after six hours without an event."""
-    return streamed(spark, sf_dir, SESSIONS, "sessions").result()
+    return _without_zone(streamed(spark, sf_dir, SESSIONS, "sessions").result())
 
 
 def e04_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,17 +104,17 @@ _SUMS = "CAST(count(*) AS BIGINT) AS events, CAST(sum(CAST(round(value * 100) AS
 
 SQL = {
     "e01_hourly_windows": _TIMELY + f"""
-SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP WITH TIME ZONE) AS window_start, CAST(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS TIMESTAMP WITH TIME ZONE) AS window_end, event_type, {_SUMS}
+SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS window_start, CAST(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS window_end, event_type, {_SUMS}
 FROM timely GROUP BY ALL""",
     "e02_sliding_windows": _TIMELY + f""",
 placed AS (SELECT timely.*, time_bucket(INTERVAL 2 HOUR, ts) - back * INTERVAL 2 HOUR AS opens FROM timely, (SELECT unnest([0, 1, 2]) AS back))
-SELECT CAST(opens AS TIMESTAMP WITH TIME ZONE) AS window_start, CAST(opens + INTERVAL 6 HOUR AS TIMESTAMP WITH TIME ZONE) AS window_end, event_type, {_SUMS}
+SELECT CAST(opens AS TIMESTAMP) AS window_start, CAST(opens + INTERVAL 6 HOUR AS TIMESTAMP) AS window_end, event_type, {_SUMS}
 FROM placed GROUP BY ALL""",
     "e03_user_sessions": _TIMELY + f""",
 breaks AS (
   SELECT timely.*, coalesce(CAST(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR AS INT), 1) AS opens FROM timely),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM breaks)
-SELECT CAST(min(ts) AS TIMESTAMP WITH TIME ZONE) AS window_start, CAST(max(ts) + INTERVAL 6 HOUR AS TIMESTAMP WITH TIME ZONE) AS window_end, user_id, {_SUMS}
+SELECT CAST(min(ts) AS TIMESTAMP) AS window_start, CAST(max(ts) + INTERVAL 6 HOUR AS TIMESTAMP) AS window_end, user_id, {_SUMS}
 FROM numbered GROUP BY user_id, session""",
     "e04_late_rows": _TIMELY + """
 SELECT CAST((SELECT count(*) FROM timely) AS BIGINT) AS timely_rows, CAST((SELECT count(*) FROM events) - (SELECT count(*) FROM timely) AS BIGINT) AS late_rows""",
