@@ -16,9 +16,11 @@ from loanlens.session import checkpoint_dir
 from loanlens.sources.loans import loans
 from loanlens.sources.tables import read_table
 from loanlens.streaming.borrower_state import BorrowerStream
-from loanlens.streaming.event_windows import EventWindows, WindowStream
+from loanlens.streaming.event_windows import STATE_PARTITIONS, EventWindows, WindowStream
 
 DROPS, JITTER_S, DELAY_S, STRAGGLERS = 4, 6 * 3600, 12 * 3600, 40
+#: Loans of a state partition, and of a group of borrowers.
+STATE_LOANS, GROUP_LOANS = 2_000_000, 4_000
 
 _MEASURES = {"events": "count(*)", "value_cents": "sum(CAST(rint(value * 100) AS BIGINT))"}
 HOURLY = EventWindows(["event_type"], _MEASURES, width="1 hour")
@@ -82,10 +84,15 @@ def e04_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e05_borrower_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """s36 from the borrowers' states after all loans have come, drop by drop."""
     folder = _folder(spark, "borrowers")
-    rows = loans(spark, sf_dir)
-    stream = BorrowerStream(spark, f"{folder}/landing", folder)
+    rows = loans(spark, sf_dir).withColumn("drop", F.col("loan_number") % DROPS)
+    # derived once, not once a drop
+    rows.write.partitionBy("drop").parquet(f"{folder}/dealt")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/dealt")
+    n = rows.count()
+    stream = BorrowerStream(spark, f"{folder}/landing", folder, partitions=max(STATE_PARTITIONS, n // STATE_LOANS),
+                            groups=max(STATE_PARTITIONS, n // GROUP_LOANS))
     for drop in range(DROPS):
-        rows.where(F.col("loan_number") % DROPS == drop).write.parquet(f"{folder}/landing/drop-{drop}")
+        rows.where(F.col("drop") == drop).drop("drop").write.parquet(f"{folder}/landing/drop-{drop}")
         stream.run()
     return stream.progression()
 

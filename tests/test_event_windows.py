@@ -2,12 +2,13 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loanlens.plans import registry, streams
 from loanlens.sources.loans import derive_loans
-from loanlens.streaming.borrower_state import BorrowerStream
+from loanlens.streaming.borrower_state import SUMS, BorrowerStream, updated
 from loanlens.streaming.event_windows import EventWindows, WindowStream, settings
 
 from conftest import SF_SMALL
@@ -111,3 +112,70 @@ def test_drops_hold_every_event_once(spark):
     from loanlens.sources.tables import read_table
     rows = streams.dealt(read_table(spark, SF_SMALL, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     assert {r.drop for r in rows.select("drop").distinct().collect()} == set(range(streams.DROPS))
+
+
+def test_borrowers_share_a_state_and_the_number_of_groups_may_change(spark, tmp_path):
+    """One call of Python for a group of borrowers, not one for each; with other groups the sums go on in new generations."""
+    df = derive_loans(spark, SF_SMALL).cache()
+    s36 = registry.loan_functions()["s36_borrower_progression"]
+    for drop, groups in enumerate((4, 4, 3)):
+        df.where(F.col("loan_number") % 3 == drop).write.parquet(f"{tmp_path}/landing/d{drop}")
+        s = BorrowerStream(spark, f"{tmp_path}/landing", str(tmp_path), partitions=2, groups=groups)
+        query = s.start()
+        query.awaitTermination()
+        if drop < 2:
+            assert query.recentProgress[-1].stateOperators[0].numRowsTotal <= groups < s.current().count()
+        assert digest(s.progression()) == digest(s36(df.where(F.col("loan_number") % 3 <= drop)))
+
+
+class State:
+    """As GroupState, without a stream."""
+    value, timeout, hasTimedOut = None, None, False
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = self.timeout = None
+
+    def setTimeoutDuration(self, ms):
+        assert ms > 0
+        self.timeout = self.now + ms
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+
+def test_an_idle_borrower_loses_the_state_in_a_group_that_is_not_idle():
+    state, update = State(), updated(100)
+
+    def call(now, *rows):
+        state.now, state.hasTimedOut = now, not rows
+        frames = [pd.DataFrame({"member_key": [r[0] for r in rows]} | {c: [1] * len(rows) for c in SUMS}
+                               | {c: [r[1] for r in rows] for c in ("low", "high")})]
+        return sorted((r.member_key, r.generation, r.version, r.total, None if pd.isna(r.low) else r.low, None if pd.isna(r.high) else r.high)
+                      for out in update((0,), iter(frames), state) for r in out.itertuples())
+
+    assert call(1000, ("a", 640), ("b", None), ("a", 600)) == [("a", 1000, 1000, 2, 600, 640), ("b", 1000, 1000, 1, None, None)]
+    assert state.timeout == 1100
+    assert call(1050, ("b", 700)) == [("b", 1000, 1050, 2, 700, 700)]
+    assert state.timeout == 1100                                             # a's
+    assert call(1101) == [] and state.exists and state.timeout == 1150       # a has gone, b has not
+    assert call(1200, ("a", 620), ("b", 660)) == [("a", 1200, 1200, 1, 620, 620), ("b", 1000, 1200, 3, 660, 700)]
+    assert call(1301) == [] and not state.exists
+
+
+def test_loans_are_derived_once_for_all_drops(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(key):
+        seen.add(1)
+        return key
+
+    rows = derive_loans(spark, SF_SMALL)
+    monkeypatch.setattr(streams, "loans", lambda spark, sf_dir: rows.withColumn("listing_key", F.udf(counted)("listing_key")))
+    got = streams.e05_borrower_state(spark, SF_SMALL)
+    assert digest(got) == digest(registry.loan_functions()["s36_borrower_progression"](rows))
+    assert seen.value == rows.count()
