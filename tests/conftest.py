@@ -18,6 +18,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_loans_not_cached(spark):
+    """A module that caches the loans of SF_SMALL leaves no cached plan to the next one (test_plans reads plans)."""
+    yield
+    from loanlens.sources.loans import derive_loans
+    derive_loans(spark, SF_SMALL).unpersist()
+
+
 @pytest.fixture(scope="session")
 def duck_small():
     from verify import duck_connection
