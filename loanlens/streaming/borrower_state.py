@@ -6,9 +6,9 @@ adds its loans and emits the borrower's new sums; a borrower without loans for
 borrower's generations add up, so the timeout bounds the state and changes no result.
 
 The states of the borrowers whose key's hash falls into one of ``groups`` lie together as
-an Arrow table and are updated at once: a call of Python for each borrower costs about
-2 ms, for some hundred borrowers little more. ``groups`` should grow with the borrowers (a group's
-table is read and written whole); with another number at a restart borrowers begin new generations.
+an Arrow table and are updated at once, as a call of Python for each borrower took most
+of the time. ``groups`` should grow with the borrowers (a group's table is read and
+written whole); with another number at a restart borrowers begin new generations.
 
 Loans are summed for each Arrow batch before they are shuffled, so a borrower with a
 third of all loans sends one row for each batch to the task that holds their state.
